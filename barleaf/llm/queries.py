@@ -7,7 +7,7 @@ from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barleaf.llm import bpe, media, secrets, tokenstore
+from barleaf.llm import bpe, jaccard, knn, langid, media, secrets, tokenstore
 from barleaf.llm.common import documents
 
 END_ID = 2
@@ -29,6 +29,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(documents(spark, sf_dir), vocabulary_file("byte_bpe_50k.tiktoken"))
 
 
+def op3_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir))
+
+
 def op4_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.roundtrip(documents(spark, sf_dir), vocabulary_file("byte_bpe_50k.json"))
 
@@ -37,9 +41,17 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.of_payloads(documents(spark, sf_dir))
 
 
+def op6_voronoi_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(documents(spark, sf_dir)).drop("row")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_store, op2_secret_scan, op4_bpe_roundtrip, op5_media_columns)}
+    return {f.__name__: f for f in (op1_token_store, op2_secret_scan, op3_language_mixture, op4_bpe_roundtrip, op5_media_columns, op6_voronoi_top_k, op9_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_voronoi_top_k": knn.ORACLE}
