@@ -7,7 +7,7 @@ from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barleaf.llm import bpe, jaccard, knn, langid, media, mixing, quality, secrets, tokenstore
+from barleaf.llm import bpe, extract, jaccard, knn, langid, media, mixing, quality, secrets, tokenstore
 from barleaf.llm.common import documents
 
 END_ID = 2
@@ -45,6 +45,10 @@ def op6_voronoi_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -58,7 +62,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_store, op2_secret_scan, op3_language_mixture, op4_bpe_roundtrip, op5_media_columns, op6_voronoi_top_k, op8_quality_classifier, op9_ngram_jaccard_join, op10_source_mixing)}
+    return {f.__name__: f for f in (op1_token_store, op2_secret_scan, op3_language_mixture, op4_bpe_roundtrip, op5_media_columns, op6_voronoi_top_k, op7_html_main_text, op8_quality_classifier, op9_ngram_jaccard_join, op10_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
