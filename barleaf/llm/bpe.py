@@ -35,6 +35,9 @@ PIECE = re.compile(r"[ \t\n\r\f\v]*[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+")
 ODD_SPACE = re.compile(r"[^\S \t\n\r\f\v]")
 CACHE_WORDS, CACHE_PIECES, CACHE_CHARS = 500_000, 250_000, 48
 
+#: Rows that leave at once where ids themselves are returned.
+ROWS = 512
+
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -161,12 +164,18 @@ def roundtrip(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
 
 def encoded(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """Per document its ids themselves: doc_id, ids array<int>."""
+    """Per document its ids themselves, and whether they decode to the text: doc_id, lang, source, n_tokens, ids, exact."""
+    schema = "doc_id long, lang string, source string, n_tokens long, ids array<int>, exact boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(tokenizer_path)
         for batch in batches:
-            ids = [np.frombuffer(bpe.encode(text.as_py() or ""), "<u4").astype("i4") for text in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
-
-    return pick(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, ids array<int>")
+            for at in range(0, len(batch), ROWS):
+                part = batch.slice(at, ROWS)
+                texts = [t or "" for t in part.column("text").to_pylist()]
+                ids = [np.frombuffer(bpe.encode(t), "<i4") for t in texts]
+                exact = [bpe.decode(i.tolist()) == t for i, t in zip(ids, texts, strict=True)]
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate(ids)))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), part.column("source"), pa.array([len(i) for i in ids], pa.int64()), lists, pa.array(exact)], ["doc_id", "lang", "source", "n_tokens", "ids", "exact"])
+
+    return pick(docs, doc_id="long", text="string", lang="string", source="string").mapInArrow(run, schema)

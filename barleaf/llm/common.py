@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +18,9 @@ from pyspark.sql import functions as F
 #: Words of all contracts: runs without the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_written: list[str] = []
+#: Scratch paths and who wrote them.
+_written: dict[str, str] = {}
+_owner = [""]
 
 
 def pick(df: DataFrame, **types: str) -> DataFrame:
@@ -44,7 +48,7 @@ def shared_root(spark: SparkSession) -> str:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     path = f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-    _written.append(path)
+    _written[path] = _owner[-1]
     return path
 
 
@@ -61,13 +65,22 @@ def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    if path in _written:
-        _written.remove(path)
+    _written.pop(path, None)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every scratch table written so far; only for callers that hold no result built on them."""
-    for path in list(_written):
+@contextmanager
+def owned(owner: str) -> Iterator[None]:
+    """Scratch tables written inside belong to ``owner``."""
+    _owner.append(owner)
+    try:
+        yield
+    finally:
+        _owner.pop()
+
+
+def release(spark: SparkSession, owner: str) -> None:
+    """Delete the scratch tables of ``owner``, who holds no result built on them."""
+    for path in [p for p, o in _written.items() if o == owner]:
         drop_path(spark, path)
 
 

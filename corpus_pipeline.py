@@ -1,8 +1,115 @@
-"""The corpus pipeline (stages follow)."""
+"""The corpus pipeline: quality, near duplicates, secrets, mixture, token ids.
 
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written
+as Parquet and read again as the next stage's docs. Stages that drop or change
+documents return the columns of ``documents``.
+
+1. quality classifier: documents that it rejects go.
+2. n-gram Jaccard join: of each group of near duplicates the document with the
+   smallest key stays.
+3. secret scans: secrets are masked in the text and n_chars counted again; no
+   document goes.
+4. mixing sources to target weights: each document comes as often as the mix
+   takes it, so 0, 1 or 2 times.
+5. BPE encoding and decoding: token ids, and whether they decode to the text.
+
+Rows with a null key are told apart by their texts; rows that repeat a key are
+copies of one document for stage 2 and documents of their own for stage 4.
+"""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+from functools import wraps
+
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from barleaf.llm import bpe, jaccard, mixing, quality, secrets
+from barleaf.llm.common import owned, pick, release, shared_root
+
+COLUMNS = {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "n_chars": "long"}
+#: SQL can't express the trained classifier, the seeded mixture or byte-pair merges.
 ORACLE_SQL = None
-STAGES: list = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]):
+    """When a stage starts, the one before has been written: its scratch tables can go."""
+
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, "pipeline")
+        with owned("pipeline"):
+            return f(spark, docs, sf_dir)
+
+    return run_stage
+
+
+def key() -> Column:
+    """doc_id, or for rows without one a number above all usual keys, by the text."""
+    return F.coalesce("doc_id", F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62))
+
+
+@stage
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    judged = quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), COLUMNS)
+    return judged.where("keep").select(*COLUMNS)
+
+
+@stage
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = pick(docs, **COLUMNS).withColumn("key", key())
+    groups = jaccard.near_duplicates(docs.select(F.col("key").alias("doc_id"), "text"))
+    first = groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("key")).agg(F.count("*").alias("k"))
+    first = jaccard.materialize(first, "first")
+    out = docs.join(first.select("key"), "key", "left_semi")
+    if first.where("k > 1").limit(1).count():
+        out = out.dropDuplicates(["key"])
+    return out.select(*COLUMNS)
+
+
+@stage
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secrets.redact(docs, str(public_tokenizers.path("byte_bpe_50k.tiktoken")))
+
+
+@stage
+def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = pick(docs, **COLUMNS).withColumn("key", key())
+    mixed = mixing.mix_sources(docs.select(F.col("key").alias("doc_id"), "text", "source")).where("taken > 0")
+    times = mixing.materialize(mixed.select(F.col("doc_id").alias("key"), (F.col("taken") / F.col("size")).cast("int").alias("times")), "times")
+    if times.groupBy("key").count().where("count > 1").limit(1).count():
+        # rows that repeat a key: the first rows with words, by text, are taken most often
+        words = mixing.size_of("text") > 0
+        docs = docs.where(words).withColumn("i", F.row_number().over(Window.partitionBy("key").orderBy("text")))
+        times = times.withColumn("i", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("times"))))
+        taken = docs.join(times, ["key", "i"])
+    else:
+        taken = docs.join(times, "key")
+    return taken.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("times"))).alias("i")).drop("i")
+
+
+@stage
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.encoded(docs, str(public_tokenizers.path("byte_bpe_50k.json")))
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("n-gram Jaccard join", near_duplicates),
+    ("secret scans", secret_scans),
+    ("mixing sources to target weights", source_mixture),
+    ("BPE encoding and decoding", token_ids),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; the rows of the last."""
+    docs, root = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{shared_root(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex[:12]}"
+    for i, (_, f) in enumerate(STAGES[:-1]):
+        out = f(spark, docs, sf_dir)
+        out.write.mode("overwrite").option("compression", "zstd").parquet(path := f"{root}/{i}")
+        docs = spark.read.schema(out.schema).parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)
