@@ -63,7 +63,7 @@ def average_rank(x: str, *by: str | Column) -> Column:
     """1-based rank within ``by``, the mean of the places for ties; NULL for missing values."""
     x = col(x)
     order = Window.partitionBy(*by, x.isNull()).orderBy(x)
-    ties = Window.partitionBy(*by, x)
+    ties = order.rangeBetween(Window.currentRow, Window.currentRow)
     return F.when(x.isNotNull(), F.rank().over(order) + (F.count(F.lit(1)).over(ties) - 1) / 2.0)
 
 

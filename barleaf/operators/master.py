@@ -18,16 +18,22 @@ ORIGINAL = dt.date(2000, 1, 3)
 TRUE, FALSE = ("true", "1", "yes"), ("false", "0", "no", "")
 
 
-def normalise_curated(raw: DataFrame) -> DataFrame:
+def normalise_curated(raw: DataFrame, checked: bool = True) -> DataFrame:
     """Strings stripped, blanks for missing, issuer from ticker where blank, suspect as boolean."""
     if tuple(raw.columns) != CURATED:
         raise SecurityMasterError(f"curated columns are {raw.columns}")
     rows = raw.select(*(F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(c) for c in CURATED))
+    low = F.lower("stitching_suspect")
+    if checked:
+        check_curated(rows)
+    return rows.withColumns({"stitching_suspect": low.isin(*TRUE), "issuer_id": F.when(F.col("issuer_id") == "", F.col("ticker")).otherwise(F.col("issuer_id"))})
+
+
+def check_curated(rows: DataFrame) -> None:
     low = F.lower("stitching_suspect")
     assert_none(rows, SecurityMasterError, blank_ticker=F.col("ticker") == "", bad_boolean=~low.isin(*TRUE, *FALSE))
     if rows.groupBy("ticker").count().where("count > 1").limit(1).count():
         raise SecurityMasterError("curated tickers repeat")
-    return rows.withColumns({"stitching_suspect": low.isin(*TRUE), "issuer_id": F.when(F.col("issuer_id") == "", F.col("ticker")).otherwise(F.col("issuer_id"))})
 
 
 def unknown_tickers(curated: DataFrame, silver: DataFrame) -> DataFrame:
@@ -48,15 +54,16 @@ def derived(silver: DataFrame, original: dt.date = ORIGINAL) -> DataFrame:
     )
 
 
-def build_master(silver: DataFrame, curated: DataFrame | None, max_zero_volume_share: float, original: dt.date = ORIGINAL) -> DataFrame:
+def build_master(silver: DataFrame, curated: DataFrame | None, max_zero_volume_share: float, original: dt.date = ORIGINAL, checked: bool = True) -> DataFrame:
     """Curated rows override the defaults; an exclusion or too many bars without volume leaves a ticker out."""
-    assert_none(silver, SecurityMasterError, missing=F.col("ticker").isNull() | F.col("date").isNull() | F.col("close").isNull() | F.col("volume").isNull())
+    if checked:
+        assert_none(silver, SecurityMasterError, missing=F.col("ticker").isNull() | F.col("date").isNull() | F.col("close").isNull() | F.col("volume").isNull())
     base = derived(silver, original)
     if curated is None:
         rows = base.select("*", *(F.lit(None).cast("boolean" if c == "stitching_suspect" else "string").alias(c) for c in CURATED[1:]))
     else:
-        curated = normalise_curated(curated)
-        if bad := unknown_tickers(curated, silver).limit(5).collect():
+        curated = normalise_curated(curated, checked)
+        if checked and (bad := unknown_tickers(curated, silver).limit(5).collect()):
             raise SecurityMasterError(f"curated tickers without data: {[r.ticker for r in bad]}")
         rows = base.join(curated, "ticker", "left")
     rows = rows.withColumns({

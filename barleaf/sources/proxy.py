@@ -47,11 +47,19 @@ def settings() -> Config:
     """Thresholds at which both branches of every rule occur on the proxy panel, and splits inside its years."""
     return build({
         "flags": {"tick_noise_min_close": 500.0, "extreme_move_abs_ret": 2.0},
-        "universe": {"seasoning_days": 60, "min_close": 300.0, "min_median_dollar_volume_63": 150_000.0},
+        "universe": {"seasoning_days": 60, "min_close": 300.0, "min_median_dollar_volume_63": 320_000.0},
         "labels": {"horizons": [5, 10], "primary_horizon": 5, "min_names": 5},
         "validation": {
-            "first_train_decision_date": "1993-06-01", "dev_test_years": [1996, 1997], "locked_test_start": "1998-01-05", "embargo_days": 2,
-            "calibration_days": 26, "train_stride": 2, "tuning_end_date": "1995-12-31", "tuning_valid_years": [1994, 1995],
+            "first_train_decision_date": "1996-03-01", "dev_test_years": [1999, 2000], "locked_test_start": "2001-01-01", "embargo_days": 2,
+            "calibration_days": 26, "train_stride": 2, "tuning_end_date": "1998-12-31", "tuning_valid_years": [1997, 1998],
         },
         "backtest": {"rebalance_every_days": 20, "rebalance_anchor_idx": 252},
     })
+
+
+#: Curated facts for the proxy panel.
+CURATED_ROWS = [
+    ("Brand#1", "issuer-1", "A", "duplicate line", "false", "kept out by hand"),
+    ("Brand#2", "", "B", "", "true", "two histories"),
+    ("Brand#3", "issuer-3", "", "", "no", ""),
+]
