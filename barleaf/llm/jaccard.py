@@ -12,12 +12,14 @@ The document by shingle incidence matrix is never multiplied whole:
    that many, no pair can pass, and the document is done. Documents of equal
    sets become one class.
 3. *Products.* For each column among the rarest of two or more documents,
-   pairs whose sizes allow t are formed, and their overlap is counted over
-   whole rows. Pairs that are already connected aren't formed: where a column
-   has many documents, rounds first link each document to one hub of the column
-   and merge what passes; the last round forms every pair still apart, so no
-   link between different sets is lost, and a group of copies costs rows in
-   proportion to its size.
+   pairs whose sizes and places allow t are formed, and their overlap is counted
+   over whole rows. The place of a column among a document's columns, rarest
+   first, bounds what the two can share from there on; of a passing pair, their
+   first common column keeps that bound. Pairs that are already connected aren't
+   formed: the first round links each document to one hub of the column, the
+   document whose columns are the most frequent, and merges what passes; the
+   last round forms every pair still apart, so no link between different sets
+   is lost, and a group of copies costs rows in proportion to its size.
 4. *Components* over the links, by alternating stars.
 
 Defined results: null or empty texts and texts of white space have an empty
@@ -33,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barleaf.llm.common import materialize, pick, pieces_for
@@ -45,8 +47,8 @@ from barleaf.llm.tokenstore import mix
 PERCENT = 75
 #: Input bytes that a column block is made of, and characters taken into one slice.
 BLOCK_BYTES, SLICE_CHARS = 4 << 20, 4 << 20
-#: Pairs formed in the last round, for each entry of the rarest columns; above that a hub round goes first, HUB_ROUNDS at most.
-PAIRS_EACH, HUB_ROUNDS = 8, 6
+#: Pairs compared by place and size in the last round, for each entry of a column that still has two groups; above that, more hub rounds go first, HUB_ROUNDS at most.
+PAIRS_EACH, HUB_ROUNDS = 64, 6
 
 ENTRIES = "block int, kind int, runs binary, sizes binary, counts binary, low binary, high binary, codes binary"
 FIELDS = ["block", "kind", "runs", "sizes", "counts", "low", "high", "codes"]
@@ -153,8 +155,8 @@ def least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def candidates(entries: DataFrame, percent: int) -> DataFrame:
-    """Step 2: rid, n, unshared, digest, ids, rarest of the documents that can still pass."""
-    schema = "rid long, n int, unshared int, digest binary, ids array<long>, rarest array<long>"
+    """Step 2: the documents that can still pass. ids: shared columns; rarest: those that one must share; centre: how frequent its columns are."""
+    schema = "rid long, n int, unshared int, centre double, digest binary, ids array<long>, rarest array<long>"
 
     def run(part: pa.Table) -> pa.Table:
         runs, sizes, counts = joined(part.column("runs"), "i8"), joined(part.column("sizes"), "i4"), joined(part.column("counts"), "i4")
@@ -166,20 +168,31 @@ def candidates(entries: DataFrame, percent: int) -> DataFrame:
         n = np.array([size[r] for r in rid.tolist()], "i4")
         shared = np.diff(np.append(start, len(order))).astype("i4")
         left = n - least_overlap(n, percent) + 1 - (n - shared)
-        out = [[] for _ in range(6)]
+        out = [[] for _ in range(7)]
         for i in np.flatnonzero(left > 0):
-            own = ids[order[start[i] : start[i] + shared[i]]]
+            here = order[start[i] : start[i] + shared[i]]
+            own = ids[here]
             whole = np.sort(own)
-            for column, x in zip(out, (rid[i], n[i], n[i] - shared[i], hashlib.sha256(whole.tobytes()).digest()[:16], whole.view("i8"), own[: left[i]].view("i8")), strict=True):
+            for column, x in zip(out, (rid[i], n[i], n[i] - shared[i], codes[here].sum() / n[i], hashlib.sha256(whole.tobytes()).digest()[:16], whole.view("i8"), own[: left[i]].view("i8")), strict=True):
                 column.append(x)
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["rid", "n", "unshared", "digest", "ids", "rarest"])
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["rid", "n", "unshared", "centre", "digest", "ids", "rarest"])
 
     return entries.where(F.col("kind") == COLUMNS).groupBy("block").applyInArrow(run, schema)
 
 
-def sizes_allow(a: str, b: str, percent: int):
-    return percent * F.greatest(a, b) <= 100 * F.least(a, b)
+def allowed(percent: int) -> Column:
+    """Whether sizes (n, n1) and what is left from a common column on (r, r1) allow the threshold."""
+    sizes = percent * F.greatest("n", "n1") <= 100 * F.least("n", "n1")
+    return sizes & ((100 + percent) * F.least("r", "r1") >= percent * (F.col("n") + F.col("n1")))
+
+
+def posted(rows: DataFrame, percent: int) -> DataFrame:
+    """h, rid, n, centre, r: the rarest columns of each row that another row may share, with what is left from there on."""
+    single = rows.select("rid", "n", "unshared", "centre", F.posexplode("rarest").alias("at", "h")).select("h", "rid", "n", "centre", (F.col("n") - F.col("unshared") - F.col("at")).alias("r"))
+    often = single.groupBy("h").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1").select("h", "least")
+    other = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))
+    return single.join(often, "h").where((100 + percent) * F.col("r") >= percent * (F.col("n") + other)).drop("least")
 
 
 def passing(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
@@ -193,9 +206,7 @@ def passing(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
 def links(rows: DataFrame, percent: int) -> DataFrame:
     """Step 3: links (u, v) that connect all rows (of distinct sets) which any chain of passing pairs connects."""
     spark = rows.sparkSession
-    single = rows.select("rid", "n", "unshared", F.explode("rarest").alias("h"))
-    often = single.groupBy("h").agg(F.count("*").alias("docs")).where("docs > 1").select("h")
-    posts = materialize(single.join(often, "h"), "posts")
+    posts = materialize(posted(rows, percent), "posts")
     found, tested, roots = None, None, None
     for turn in range(HUB_ROUNDS + 1):
         now = posts.withColumn("c", F.col("rid")) if roots is None else posts.join(roots, posts.rid == roots.node, "left").withColumn("c", F.coalesce("root", "rid")).drop("node", "root")
@@ -204,17 +215,17 @@ def links(rows: DataFrame, percent: int) -> DataFrame:
         cost, entries = main.agg(F.coalesce(F.sum(F.col("minor") * F.col("docs")), F.lit(0)), F.coalesce(F.sum("docs"), F.lit(0))).first()
         if not cost:
             break
-        last = turn == HUB_ROUNDS or cost <= PAIRS_EACH * max(entries, 10_000)
+        last = turn == HUB_ROUNDS or (turn > 0 and cost <= PAIRS_EACH * max(entries, 10_000))
         open_ = now.join(main.select("h", "main"), "h")
         if last:
-            minor = open_.where("c <> main").select("h", *(F.col(x).alias(f"{x}1") for x in ("rid", "n", "c")))
-            meet = minor.join(open_, "h").where((F.col("c") != F.col("c1")) & ((F.col("c") == F.col("main")) | (F.col("rid") < F.col("rid1"))))
+            minor = open_.where("c <> main").select("h", *(F.col(x).alias(f"{x}1") for x in ("rid", "n", "r", "c")))
+            meet = minor.join(open_, "h").where((F.col("c") != F.col("c1")) & ((F.col("c") == F.col("main")) | (F.col("rid") < F.col("rid1"))) & allowed(percent))
         else:
-            # in the first turn the document with the fewest columns of its own, later one outside the main component
-            rank = F.struct(F.when((F.col("c") == F.col("main")) & F.lit(turn > 0), 1).otherwise(0), "unshared", "rid", "n", "c")
-            hubs = open_.groupBy("h").agg(F.min(rank).alias("hub")).select("h", F.col("hub.rid").alias("rid1"), F.col("hub.n").alias("n1"), F.col("hub.c").alias("c1"))
-            meet = open_.join(hubs, "h").where("c <> c1")
-        pairs = meet.where(sizes_allow("n", "n1", percent)).select(F.least("rid", "rid1").alias("u"), F.greatest("rid", "rid1").alias("v")).distinct()
+            # later hubs are from outside the main component
+            rank = F.struct(F.when((F.col("c") == F.col("main")) & F.lit(turn > 0), 0).otherwise(1), "centre", "rid", "n", "r", "c")
+            hubs = open_.groupBy("h").agg(F.max(rank).alias("hub")).select("h", *(F.col(f"hub.{x}").alias(f"{x}1") for x in ("rid", "n", "r", "c")))
+            meet = open_.join(hubs, "h").where((F.col("c") != F.col("c1")) & allowed(percent))
+        pairs = meet.select(F.least("rid", "rid1").alias("u"), F.greatest("rid", "rid1").alias("v")).distinct()
         pairs = materialize(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"), "pairs")
         tested = pairs if tested is None else tested.union(pairs)
         new = materialize(passing(pairs, rows, percent), "links")
