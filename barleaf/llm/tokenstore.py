@@ -28,7 +28,11 @@ order of their texts' hashes; an empty table gives an empty store.
 from __future__ import annotations
 
 import io
+import os
+import re
+import sys
 import zlib
+from array import array
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
@@ -40,12 +44,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barleaf.llm.bpe import CACHE_CHARS, CACHE_PIECES, ODD_SPACE, PIECE
+from barleaf.llm.bpe import CACHE_CHARS, ODD_SPACE
 from barleaf.llm.common import pick, pieces_for, scratch
 
 #: Input bytes a shard is made of.
 SHARD_BYTES = 64 << 20
 GAMMA = 2.0
+#: Pieces kept by an encoder: each up to the first number, then those that come again up to the second.
+CACHE_FREELY, CACHE = 400_000, 800_000
+#: Cuts between a character and white space after it, and between a Latin letter and an ASCII sign or digit after it.
+PIECE = re.compile(r"[ \t\n\r\f\v]*(?:[!-@\[-`{-~]*[A-Za-zÀ-ÖØ-öø-ÿ]++(?=[\x00-\x7f]|\Z)|[^ \t\n\r\f\v]+)|[ \t\n\r\f\v]+")
 MANIFEST = "shard int, path string, first_key long, last_key long, n_docs long, n_ids long"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long, shard int"
 NULL_KEY = np.uint64(0x9E3779B97F4A7C15)
@@ -140,44 +148,79 @@ class ShardIndex:
         return cls(z["keys"], np.unpackbits(z["null"], count=len(z["keys"])).astype(bool), z["starts"], levels, z["prints"], z["first"], z["run"])
 
 
+def packed(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class LibraryEncoder:
     """The tokenizers library over the distinct pieces of many texts.
 
-    No token crosses from a character to white space after it, so the ids of
-    a text are those of its pieces joined; texts with other than ASCII white
-    space go to the library whole.
+    No token crosses from a character to white space after it, or from a
+    letter to a sign after it, so the ids of a text are those of its pieces
+    joined; texts with other than ASCII white space go to the library whole.
+    With many pieces kept, further ones are from their second time on, so that
+    those that come once don't push out the others.
     """
 
     def __init__(self, path: str):
+        # Spark's tasks are the parallelism; the library's own threads would only get in each other's way
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
         self.cache: dict[str, bytes] = {}
+        self.seen = bytearray(1 << 24)
         self.wide = self.library.get_vocab_size() > 1 << 16
+        # bytes of text that each token stands for: byte-level vocabularies have a letter for each byte
+        self.lengths = np.zeros(self.library.get_vocab_size(), "i8")
+        for token, i in self.library.get_vocab().items():
+            self.lengths[i] = len(token)
+        for i, added in self.library.get_added_tokens_decoder().items():
+            self.lengths[i] = len(added.content.encode())
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return [packed(x.ids) for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def each(self, pieces: list[str]) -> list[bytes]:
+        """The packed ids of each piece. Pieces that start with white space are encoded side by side in one text and told apart by the lengths of their tokens."""
+        joined = [p for p in pieces if p[0] in " \n\t\r" and not p.isspace() and (p.isascii() or not ODD_SPACE.search(p))]
+        mine = {}
+        for a in range(0, len(joined), 4096):
+            part = joined[a : a + 4096]
+            ids = np.array(self.library.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.cumsum(self.lengths[ids])
+            cut = 4 * np.searchsorted(ends, np.cumsum([len(p.encode()) for p in part]), side="right")
+            raw = ids.tobytes()
+            mine |= {p: raw[i:j] for p, i, j in zip(part, [0, *cut[:-1].tolist()], cut.tolist(), strict=True)}
+        rest = [p for p in pieces if p not in mine]
+        mine |= dict(zip(rest, self.whole(rest), strict=True))
+        return [mine[p] for p in pieces]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """The packed ids of each text, as little-endian unsigned 32-bit integers."""
         cut = [PIECE.findall(t) for t in texts]
-        cache = self.cache
-        if len(cache) > CACHE_PIECES * 2:
+        cache, seen = self.cache, self.seen
+        if len(cache) > CACHE:
             cache.clear()
-        new = list({p for pieces in cut for p in pieces if p not in cache})
-        odd = {p for p in new if ODD_SPACE.search(p)}
-        mine = dict(zip(new, self.whole(new), strict=True))
-        cache |= {p: ids for p, ids in mine.items() if len(p) <= CACHE_CHARS and p not in odd}
-        rare = {p: ids for p, ids in mine.items() if len(p) > CACHE_CHARS}
-        out = []
-        for text, pieces in zip(texts, cut, strict=True):
-            if odd and not odd.isdisjoint(pieces):
-                out += self.whole([text])
-            elif rare:
-                out.append(b"".join([cache[p] if p in cache else rare[p] for p in pieces]))
-            else:
-                out.append(b"".join(map(cache.__getitem__, pieces)))
+        new = list(set().union(*cut).difference(cache))
+        odd = {p for p in new if not p.isascii() and ODD_SPACE.search(p)}
+        cache.update(zip(new, self.each(new), strict=True))
+        get = cache.__getitem__
+        if odd:
+            out = [b"".join(map(get, pieces)) if odd.isdisjoint(pieces) else self.whole([text])[0] for text, pieces in zip(texts, cut, strict=True)]
+        else:
+            out = [b"".join(map(get, pieces)) for pieces in cut]
+        freely = len(cache) < CACHE_FREELY
+        for piece in new:
+            at = hash(piece) & 0xFFFFFF
+            if not (freely or seen[at]) or len(piece) > CACHE_CHARS or piece in odd:
+                del cache[piece]
+            seen[at] = 1
         return out
 
 
@@ -230,8 +273,8 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int, path: str | N
                     where.create_dir(inner.rpartition("/")[0], recursive=True)
                     out = where.open_output_stream(f"{inner}.ids")
                 keys += ids
-                for packed in lib.encode(texts):
-                    own = np.frombuffer(packed, "<u4").astype(kind)
+                for raw in lib.encode(texts):
+                    own = np.frombuffer(raw, "<u4").astype(kind)
                     lengths.append(len(own) + 1)
                     out.write(own.tobytes() + end)
         if out is None:
