@@ -160,7 +160,8 @@ class LibraryEncoder:
 
     No token crosses from a character to white space after it, or from a
     letter to a sign after it, so the ids of a text are those of its pieces
-    joined; texts with other than ASCII white space go to the library whole.
+    joined; texts with other than ASCII white space or with special tokens,
+    which may be cut, go to the library whole.
     With many pieces kept, further ones are from their second time on, so that
     those that come once don't push out the others.
     """
@@ -176,6 +177,7 @@ class LibraryEncoder:
         self.cache: dict[str, bytes] = {}
         self.seen = bytearray(1 << 24)
         self.wide = self.library.get_vocab_size() > 1 << 16
+        self.specials = [x.content for x in self.library.get_added_tokens_decoder().values()]
         # bytes of text that each token stands for: byte-level vocabularies have a letter for each byte
         self.lengths = np.zeros(self.library.get_vocab_size(), "i8")
         for token, i in self.library.get_vocab().items():
@@ -203,6 +205,10 @@ class LibraryEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The packed ids of each text, as little-endian unsigned 32-bit integers."""
+        if whole := {i for i, t in enumerate(texts) if any(s in t for s in self.specials)}:
+            apart = iter(self.whole([texts[i] for i in sorted(whole)]))
+            rest = iter(self.encode([t for i, t in enumerate(texts) if i not in whole]))
+            return [next(apart if i in whole else rest) for i in range(len(texts))]
         cut = [PIECE.findall(t) for t in texts]
         cache, seen = self.cache, self.seen
         if len(cache) > CACHE:
