@@ -17,7 +17,8 @@ ENDS = {
 }
 LIST_MARKUP = frozenset("li dt dd tr td th tbody thead tfoot caption html head body".split())
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+#: A comment, a declaration, a tag with its quoted values, or, where quotes don't close, up to the next >. Nothing is tried twice.
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/><]*+)((?:[^>"']++|"[^"]{0,8192}+"|'[^']{0,8192}+')*+)>|<(/?)([a-zA-Z][^\s/><]*+)([^>]*+)>""", re.S)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HINT = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
@@ -36,8 +37,9 @@ class Page:
 
     def _read(self, html: str) -> None:
         at, end = 0, len(html)
+        last, unclosed = html.rfind(">"), set()
         while at < end:
-            m = TAG.search(html, at)
+            m = TAG.search(html, at) if at <= last or html.find("<!--", at) >= 0 else None
             if m is None:
                 self._text(html[at:])
                 break
@@ -52,7 +54,9 @@ class Page:
                 self._close(name)
             elif name in RAW:
                 # up to the end tag of the same name
-                close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
+                close = None if name in unclosed else re.compile(rf"</{name}\s*+>", re.I).search(html, at)
+                if close is None:
+                    unclosed.add(name)
                 at = close.end() if close else (end if name in ("script", "style", "textarea", "title") else at)
             elif name == "br":
                 self._parts.append(" ")

@@ -48,7 +48,7 @@ def node_features(page: Page) -> list[list]:
         p = parents[i]
         inside[i] = (tags[p] if tags[p] in SEMANTIC else inside[p]) if p >= 0 else None
         words = page.hints[i]
-        f = [("tag", tags[i]), ("in", inside[i]), ("own", page.own[i].bit_length() // 2), ("all", text[i].bit_length() // 3), ("links", 4 * links[i] // text[i] if text[i] else -1)]
+        f = [("tag", tags[i]), ("in", inside[i]), ("own", min(6, page.own[i].bit_length() // 2)), ("links", 4 * links[i] // text[i] if text[i] else -1)]
         if sentence[i]:
             f.append("sentence")
         if words:
@@ -197,6 +197,8 @@ def labelled_pages(count: int = 240, seed: int = 5) -> list[tuple[Page, list[int
             some(0.2, lambda: off("form", rng.choice(["", ' class="subscribe"']), f"<p y0>{words(2, 9)}</p>")), rng.choice([lambda: off("footer", ""), lambda: off("div", ' class="footer"', f"<p y0>{sentence()}</p>"), lambda: off("footer", "", f"<p y0>{sentence()}</p>" + menu("ul", "").replace("<ul y0><ul y0>", "<ul y0>").replace("</ul></ul>", "</ul>"))])(),
             "</body></html>",
         ])
+        if rng.random() < 0.25:  # pages without their outer elements
+            html = html.replace("<html y0><body y0>", "").replace("</body></html>", "")
         labels = [0, *(int(m[2]) for m in MARK.finditer(html))]
         page = Page(MARK.sub(r"<\1", html))
         if len(page.tags) == len(labels):
