@@ -5,7 +5,10 @@ The document by shingle incidence matrix is never multiplied whole:
 1. *Column blocks.* Each document's shingle hashes go to column blocks; a row
    that is shuffled is a slice of the matrix (many documents by one block) as
    packed arrays. Within a block one sort gives every column's count. Columns
-   of one document can't contribute to any product and end there.
+   of one document can't contribute to any product and end there. Columns of a
+   hundredth of all documents or more are found before, from counts of each
+   slice; they count as most frequent and go straight to their documents, so no
+   block grows with one column.
 2. *Row bounds.* The remaining entries return to their documents. To reach the
    threshold t with any other document, a document of n shingles must share one
    of its n - ceil(t n) + 1 rarest columns. If its unshared columns alone are
@@ -53,8 +56,12 @@ PAIRS_EACH, HUB_ROUNDS = 64, 6
 ENTRIES = "block int, kind int, runs binary, sizes binary, counts binary, low binary, high binary, codes binary"
 FIELDS = ["block", "kind", "runs", "sizes", "counts", "low", "high", "codes"]
 TYPES = [pa.int32(), pa.int32(), *[pa.binary()] * 6]
-#: kind of a row: entries of columns; keys and sizes of documents.
-COLUMNS, SIZES = 0, 1
+#: kind of a row: entries of columns; keys and sizes of documents; entries of the most frequent columns.
+COLUMNS, SIZES, FREQUENT = 0, 1, 2
+#: Columns of this share of all documents are the most frequent ones; all of them are found, with some of half that share.
+FREQUENT_SHARE, TOP_CODE = 0.01, 255
+#: Below so many documents no column needs to be set apart.
+LEAST_FREQUENT = 100
 LOW48 = np.uint64((1 << 48) - 1)
 
 
@@ -79,38 +86,73 @@ def by_group(groups: np.ndarray, runs: np.ndarray) -> Iterator[tuple[int, np.nda
         yield int(g[cut[a]]), order[cut[a] : cut[b - 1] + length[b - 1]], r[cut[a:b]], length[a:b]
 
 
-def slices(docs: DataFrame, blocks: int) -> DataFrame:
+def texts_by_slice(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list, list]]:
+    """(row numbers, keys, texts) of about SLICE_CHARS characters, whatever the batches are."""
+    rows, keys, texts, chars = [], [], [], 0
+    for batch in batches:
+        for r, k, t in zip(batch.column("rid").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+            rows.append(r)
+            keys.append(k)
+            texts.append(t.as_py())
+            chars += len(texts[-1] or "")
+            if chars >= SLICE_CHARS:
+                yield rows, keys, texts
+                rows, keys, texts, chars = [], [], [], 0
+    if rows:
+        yield rows, keys, texts
+
+
+def frequent_columns(numbered: DataFrame) -> np.ndarray:
+    """Sorted hashes of all shingles in FREQUENT_SHARE of the documents or more.
+
+    A shingle of that share of all has at least half of it in slices where it
+    has half that share; what these slices count is summed. As a document holds
+    n shingles, at most 2 n / FREQUENT_SHARE of them can pass, for the mean n,
+    whatever the number of documents: that bounds what comes to the driver.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, texts in texts_by_slice(batches):
+            sets = shingle_sets(texts)
+            found, n = np.unique(np.concatenate(sets), return_counts=True)
+            often = (n >= len(sets) * FREQUENT_SHARE / 2) & (n > 1)
+            yield pa.RecordBatch.from_arrays([pa.array([None, *found[often].view("i8")], pa.int64()), pa.array([len(sets), *n[often]], pa.int64())], ["h", "n"])
+
+    counts = numbered.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    counts = materialize(counts, "counts")
+    total = counts.where("h is null").first()
+    found = counts.where((F.col("h").isNotNull()) & (F.col("n") >= (total.n if total else 0) * FREQUENT_SHARE / 2) & (F.col("n") >= LEAST_FREQUENT)).select("h").toArrow()
+    return np.sort(found.column("h").to_numpy().view("u8"))
+
+
+def slices(numbered: DataFrame, blocks: int, frequent: np.ndarray) -> DataFrame:
     """Step 1, map side: ENTRIES rows. Documents go by a row number, which is kept with their key and size."""
+    hot = numbered.sparkSession.sparkContext.broadcast(frequent)  # bounded: see frequent_columns
 
     def emit(rows: list[int], keys: list, texts: list) -> pa.Table:
         sets = shingle_sets(texts)
         n = np.array([len(s) for s in sets], "i4")
         rid = np.array(rows, "i8")
         null = np.array([k is None for k in keys])
-        block = -1 - int(mix(rid[:1].view("u8"))[0] % np.uint64(blocks))
-        out = [(block, SIZES, rid.tobytes(), n.tobytes(), np.packbits(null).tobytes(), np.array([k or 0 for k in keys], "i8").tobytes(), None, None)]
-        every = np.concatenate(sets)
+        part = lambda of: (mix(of.view("u8"), 5) % np.uint64(blocks)).astype("i4")
+        out = [(-1 - int(part(rid[:1])[0]), SIZES, rid.tobytes(), n.tobytes(), np.packbits(null).tobytes(), np.array([k or 0 for k in keys], "i8").tobytes(), None, None)]
+        every, of = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype="i4"), n)
         home = ((every >> np.uint64(40)) * np.uint64(blocks) >> np.uint64(24)).astype("i4")
-        for b, at, runs, counts in by_group(home, np.repeat(np.arange(len(sets), dtype="i4"), n)):
-            own = every[at] & LOW48
+        often = hot.value[np.minimum(np.searchsorted(hot.value, every), len(hot.value) - 1)] == every if len(hot.value) else np.zeros(len(every), bool)
+        rest = np.flatnonzero(~often)
+        for b, at, runs, counts in by_group(home[rest], of[rest]):
+            own = every[rest[at]] & LOW48
             out.append((b, COLUMNS, rid[runs].tobytes(), n[runs].tobytes(), counts.astype("i4").tobytes(), own.astype("u4").tobytes(), (own >> np.uint64(32)).astype("u2").tobytes(), None))
+        top = np.flatnonzero(often)
+        for b, at, runs, counts in by_group(part(rid)[of[top]], of[top]):
+            ids = (every[top[at]] & LOW48) | (home[top[at]].astype("u8") << np.uint64(48))
+            out.append((-1 - b, FREQUENT, rid[runs].tobytes(), n[runs].tobytes(), counts.astype("i4").tobytes(), ids.tobytes(), None, np.full(len(at), TOP_CODE, "u1").tobytes()))
         return table(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, keys, texts, chars = [], [], [], 0
-        for batch in batches:
-            for r, k, t in zip(batch.column("rid").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                rows.append(r)
-                keys.append(k)
-                texts.append(t.as_py())
-                chars += len(texts[-1] or "")
-                if chars >= SLICE_CHARS:
-                    yield from emit(rows, keys, texts).to_batches()
-                    rows, keys, texts, chars = [], [], [], 0
-        if rows:
-            yield from emit(rows, keys, texts).to_batches()
+        for part in texts_by_slice(batches):
+            yield from emit(*part).to_batches()
 
-    numbered = pick(docs, doc_id="long", text="string").select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
     return numbered.mapInArrow(run, ENTRIES)
 
 
@@ -118,8 +160,10 @@ def shared_columns(entries: DataFrame, blocks: int) -> DataFrame:
     """Step 1, reduce side: entries of columns of two or more documents, dealt by document; sizes pass through."""
 
     def run(block: pa.Table) -> pa.Table:
-        if block.column("kind")[0].as_py() == SIZES:
-            return block.select(FIELDS)
+        if block.column("block")[0].as_py() < 0:
+            # what is for documents passes through, to the documents' own part
+            part = pa.array([-1 - b for b in block.column("block").to_pylist()], pa.int32())
+            return block.select(FIELDS).set_column(0, "block", part)
         runs, sizes, counts = joined(block.column("runs"), "i8"), joined(block.column("sizes"), "i4"), joined(block.column("counts"), "i4")
         keys = joined(block.column("low"), "u4").astype("u8") | joined(block.column("high"), "u2").astype("u8") << np.uint64(32)
         order = np.argsort(keys)
@@ -128,7 +172,7 @@ def shared_columns(entries: DataFrame, blocks: int) -> DataFrame:
         df = np.bincount(column)[column]
         keep = df >= 2
         at = order[keep]
-        code = np.minimum(255, 8 * np.log2(df[keep])).astype("u1")
+        code = np.minimum(TOP_CODE - 1, 8 * np.log2(df[keep])).astype("u1")
         ids = keys[at] | (np.uint64(block.column("block")[0].as_py()) << np.uint64(48))
         run_of = np.repeat(np.arange(len(runs)), counts)[at]
         home = (mix(runs.view("u8"), 5) % np.uint64(blocks)).astype("i4")[run_of]
@@ -178,7 +222,7 @@ def candidates(entries: DataFrame, percent: int) -> DataFrame:
         kinds = (pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["rid", "n", "unshared", "centre", "digest", "ids", "rarest"])
 
-    return entries.where(F.col("kind") == COLUMNS).groupBy("block").applyInArrow(run, schema)
+    return entries.where(F.col("kind") != SIZES).groupBy("block").applyInArrow(run, schema)
 
 
 def allowed(percent: int) -> Column:
@@ -239,7 +283,8 @@ def links(rows: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, and row (a number of its own)."""
     blocks = pieces_for(docs, BLOCK_BYTES)
-    entries = materialize(shared_columns(slices(docs, blocks), blocks), "columns")
+    numbered = pick(docs, doc_id="long", text="string").select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
+    entries = materialize(shared_columns(slices(numbered, blocks, frequent_columns(numbered)), blocks), "columns")
     sizes = sizes_of(entries)
     rows = materialize(candidates(entries, percent), "rows")
     # documents of one set: the smallest row number stands for all
