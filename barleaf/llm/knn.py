@@ -29,8 +29,8 @@ from barleaf.llm.common import materialize, pick
 
 SCALE, K, EVERY = 256, 5, 50
 PIVOTS, LEAST_GROUPS, GROUP_QUERIES = 64, 8, 4096
-#: Vectors in a block of data.
-BLOCK = 65_536
+#: Vectors in a block of data; queries in a block of a group.
+BLOCK, QUERY_BLOCK = 65_536, 16_384
 HEAD = "vec_id long, dim int, v binary"
 
 
@@ -77,7 +77,7 @@ def slack(x):
 
 
 def plan(rows: DataFrame, pivots: dict[int, np.ndarray], k: int) -> dict:
-    """Per (dim, group): its pivot, radius, sure score and the cells that can matter. From summaries of PIVOTS cells only."""
+    """Per (dim, group): its pivot, radius, sure score, the cells that can matter, and its number of query blocks. From summaries of PIVOTS cells only."""
     cells: dict = {}
     for r in rows.groupBy("dim", "cell").agg(F.max("d").alias("radius")).collect():
         cells.setdefault(r.dim, {})[r.cell] = [r.radius, []]
@@ -85,7 +85,7 @@ def plan(rows: DataFrame, pivots: dict[int, np.ndarray], k: int) -> dict:
     for r in near.collect():
         cells[r.dim][r.cell][1].append(r.d)
     out = {}
-    for r in rows.where("grp is not null").groupBy("dim", "grp").agg(F.max("dq").alias("radius")).collect():
+    for r in rows.where("grp is not null").groupBy("dim", "grp").agg(F.max("dq").alias("radius"), F.count("*").alias("n")).collect():
         own = pivots.get(r.dim, np.zeros((1, r.dim)))
         a, radius = own[r.grp], r.radius
         sure, most = [], {}
@@ -97,12 +97,12 @@ def plan(rows: DataFrame, pivots: dict[int, np.ndarray], k: int) -> dict:
         # one of the k + 1 best may be the query itself
         least = sorted(sure, reverse=True)[k] if len(sure) > k else -np.inf
         least = least - slack(least) if np.isfinite(least) else least
-        out[r.dim, r.grp] = (a, radius, least, {c for c, x in most.items() if x + slack(x) >= least})
+        out[r.dim, r.grp] = (a, radius, least, {c for c, x in most.items() if x + slack(x) >= least}, -(-r.n // QUERY_BLOCK))
     return out
 
 
 def sent(rows: DataFrame, groups: dict, blocks: int) -> DataFrame:
-    """Each vector, once for every query group that it can matter to."""
+    """Each vector, once for every block of queries that it can matter to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,16 +112,18 @@ def sent(rows: DataFrame, groups: dict, blocks: int) -> DataFrame:
                 at = np.flatnonzero(dims == dim)
                 x = matrix(batch.column("v").take(pa.array(at)), dim).astype("f8")
                 norm = np.sqrt((x * x).sum(1))
-                for (d, g), (a, radius, least, near) in groups.items():
+                for (d, g), (a, radius, least, near, parts) in groups.items():
                     if d != dim:
                         continue
                     most = x @ a + radius * norm
                     take = at[(most + slack(most) >= least) & np.isin(cells[at], list(near))]
-                    if len(take):
-                        part = batch.take(pa.array(take))
-                        yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("dim"), part.column("v"), pa.array(np.full(len(take), g, "i4")), pa.array(block[take])], ["vec_id", "dim", "v", "grp", "block"])
+                    if not len(take):
+                        continue
+                    part = batch.take(pa.array(take))
+                    for q in range(parts):
+                        yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("dim"), part.column("v"), pa.array(np.full(len(take), g, "i4")), pa.array(block[take]), pa.array(np.full(len(take), q, "i4"))], ["vec_id", "dim", "v", "grp", "block", "part"])
 
-    return rows.select("vec_id", "dim", "v", "cell").mapInArrow(run, f"{HEAD}, grp int, block int")
+    return rows.select("vec_id", "dim", "v", "cell").mapInArrow(run, f"{HEAD}, grp int, block int, part int")
 
 
 def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -162,13 +164,16 @@ def top_k(table: DataFrame, k: int = K) -> DataFrame:
     for r in base.orderBy(F.xxhash64("vec_id", "q")).limit(PIVOTS).collect():
         seen.setdefault(r.dim, []).append(r.q)
     pivots = {dim: np.array(rows, "f8").reshape(len(rows), dim) for dim, rows in seen.items()}
-    total, asked = base.agg(F.count("*"), F.count_if(F.col("vec_id") % EVERY == 0)).first()
-    groups = min(PIVOTS, max(LEAST_GROUPS, -(-asked // GROUP_QUERIES)))
+    total, n_asked = base.agg(F.count("*"), F.count_if(F.col("vec_id") % EVERY == 0)).first()
+    groups = min(PIVOTS, max(LEAST_GROUPS, -(-n_asked // GROUP_QUERIES)))
     rows = materialize(dealt(base, pivots, groups), "cells")
     blocks = max(1, -(-total // BLOCK))
-    data = sent(rows, plan(rows, pivots, k), blocks)
-    queries = rows.where("grp is not null").select("vec_id", "dim", "v", "grp", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    keys = ["dim", "grp", "block"]
+    groups_of = plan(rows, pivots, k)
+    data = sent(rows, groups_of, blocks)
+    parts = F.create_map(*(F.lit(x) for (d, g), v in groups_of.items() for x in (d * PIVOTS + g, v[4]))) if groups_of else F.lit(None).cast("map<int,int>")
+    asked = rows.where("grp is not null").withColumn("part", F.pmod(F.xxhash64("vec_id", "v"), parts[F.col("dim") * PIVOTS + F.col("grp")]).cast("int"))
+    queries = asked.select("vec_id", "dim", "v", "grp", "part", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    keys = ["dim", "grp", "block", "part"]
     best = queries.groupBy(*keys).cogroup(data.groupBy(*keys)).applyInArrow(lambda key, q, x: solve(key, q, x, k), "query_id long, qv binary, vec_id long, score long")
     order = Window.partitionBy("query_id", "qv").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
