@@ -6,11 +6,11 @@ stops at twice its source's size and what is over goes to the others by
 weight. With target T and size S a source takes every document T // S times;
 for the rest R it picks documents to take once more:
 
-1. Its documents are counted by exact size. Of each size the same share R / S
-   is taken, rounded down.
-2. What is left of the budget is less than one document of each size. It is
-   filled largest size first while more than ``EXACT`` words remain, then by a
-   bounded knapsack over the counts left: the largest sum up to the budget.
+1. Its documents are counted by exact size. Of each size the same share is
+   taken, rounded down: R / S, less room for ``RESERVE`` of the largest ones.
+2. What is left of the budget is little more than one document of each size. It
+   is filled largest size first while more than ``EXACT`` words remain, then by
+   a bounded knapsack over the counts left: the largest sum up to the budget.
 3. Of each (source, size) the wanted number of documents is taken in the order
    of a seeded hash.
 
@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from barleaf.llm.common import WORD, materialize, null_safe, pick
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
-#: Words of budget that the knapsack fits exactly; documents in a range of the hash; the seed.
-EXACT, RANGE, SEED = 1 << 16, 512, 17
+#: Words of budget that the knapsack fits exactly; largest documents left for it; documents in a range of the hash; the seed.
+EXACT, RESERVE, RANGE, SEED = 1 << 16, 4, 512, 17
 
 
 def size_of(text: str) -> Column:
@@ -87,7 +87,8 @@ def fit(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     total = int((sizes * counts).sum())
     if budget >= total:
         return counts.copy()
-    taken = np.array([int(c) * budget // total for c in counts], "i8")
+    evenly = max(0, budget - RESERVE * int(sizes.max()))
+    taken = np.array([int(c) * evenly // total for c in counts], "i8")
     left, spare = budget - int((sizes * taken).sum()), counts - taken
     for i in np.argsort(-sizes, kind="stable"):
         if left <= EXACT:
