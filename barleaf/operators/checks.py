@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from barleaf.errors import ValidationError
 from barleaf.functions.exprs import ln_ratio
 from barleaf.operators.calendar import with_t_idx
-from barleaf.operators.flags import BRONZE, BY_TICKER, FLAGS
+from barleaf.operators.flags import BRONZE, FLAGS, by_ticker
 from barleaf.operators.keys import bad_number, count_where, repeated_keys
 
 TYPES = {"ticker": "string", "date": "date", "open": "double", "high": "double", "low": "double", "close": "double", "adj_close": "double", "volume": "bigint"}
@@ -106,13 +106,13 @@ def early_exits(bronze: DataFrame) -> DataFrame:
 
 def top_moves(bronze: DataFrame, k: int = 10) -> DataFrame:
     """The k largest simple returns of the raw close, ties by ticker and date."""
-    ret = F.col("close") / F.lag("close").over(BY_TICKER) - 1
+    ret = F.col("close") / F.lag("close").over(by_ticker()) - 1
     return bronze.select("ticker", "date", ret.alias("ret")).where("ret is not null").orderBy(F.desc(F.abs("ret")), "ticker", "date").limit(k)
 
 
 def count_moves(bronze: DataFrame, above: float) -> DataFrame:
     """How many simple returns exceed a size, by ticker."""
-    ret = F.col("close") / F.lag("close").over(BY_TICKER) - 1
+    ret = F.col("close") / F.lag("close").over(by_ticker()) - 1
     return bronze.select("ticker", ret.alias("ret")).groupBy("ticker").agg(F.count_if(F.abs("ret") > above).alias("n_moves"))
 
 

@@ -9,18 +9,21 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from barleaf.functions.exprs import TRADING_DAYS, full, ln_ratio, safe_ln, trailing
 
 YEAR = math.sqrt(TRADING_DAYS)
 AMIHUD_SCALE, BETA_LEAST_RELATIVE_VARIANCE = 1e6, 1e-9
-BY = Window.partitionBy("ticker").orderBy("t_idx")
+
+
+def by() -> WindowSpec:
+    return Window.partitionBy("ticker").orderBy("t_idx")
 
 
 def ret(k: int) -> Column:
-    return ln_ratio("adj_close", F.lag("adj_close", k).over(BY))
+    return ln_ratio("adj_close", F.lag("adj_close", k).over(by()))
 
 
 def vol(n: int) -> Column:
@@ -67,7 +70,7 @@ def mean_dv(n: int) -> Column:
 
 BUILDERS: dict[str, Callable[[], Column]] = {
     "ret_5": lambda: ret(5), "ret_21": lambda: ret(21), "ret_63": lambda: ret(63), "ret_126": lambda: ret(126), "ret_252": lambda: ret(252),
-    "mom_12_1": lambda: ln_ratio(F.lag("adj_close", 21).over(BY), F.lag("adj_close", 252).over(BY)),
+    "mom_12_1": lambda: ln_ratio(F.lag("adj_close", 21).over(by()), F.lag("adj_close", 252).over(by())),
     "vol_21": lambda: vol(21), "vol_63": lambda: vol(63), "downvol_63": lambda: downvol(63), "parkinson_21": lambda: parkinson(21), "beta_126": lambda: beta(126),
     "vol_ratio_21_63": lambda: ln_ratio("vol_21", "vol_63"),
     "px_sma_50": lambda: over_mean(50), "px_sma_200": lambda: over_mean(200),

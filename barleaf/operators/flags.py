@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from barleaf.config import Flags
@@ -12,16 +12,18 @@ BRONZE = ("ticker", "date", "open", "high", "low", "close", "adj_close", "volume
 FLAGS = ("flag_tick_noise", "flag_zero_volume", "flag_flat_bar", "flag_corp_action_suspect", "flag_extreme_move")
 SILVER = (*BRONZE, "n_obs", *FLAGS)
 
-BY_TICKER = Window.partitionBy("ticker").orderBy("date")
+
+def by_ticker() -> WindowSpec:
+    return Window.partitionBy("ticker").orderBy("date")
 
 
 def previous_row_returns() -> dict[str, Column]:
     """Close of the row before, and log returns of close and adjusted close."""
-    prev = F.lag("close").over(BY_TICKER)
+    prev = F.lag("close").over(by_ticker())
     return {
         "prev_close": prev,
         "ret_close": ln_ratio(F.col("close"), prev),
-        "ret_adj": ln_ratio(F.col("adj_close"), F.lag("adj_close").over(BY_TICKER)),
+        "ret_adj": ln_ratio(F.col("adj_close"), F.lag("adj_close").over(by_ticker())),
     }
 
 
@@ -39,7 +41,7 @@ def flag_columns(s: Flags) -> dict[str, Column]:
 
 def add_flags(bronze: DataFrame, settings: Flags | None = None) -> DataFrame:
     """All flags and n_obs in one pass: one exchange on ticker. A ticker's first row has no return, so those flags are false."""
-    rows = bronze.select(*BRONZE).withColumns(previous_row_returns() | {"n_obs": F.row_number().over(BY_TICKER).cast("int")})
+    rows = bronze.select(*BRONZE).withColumns(previous_row_returns() | {"n_obs": F.row_number().over(by_ticker()).cast("int")})
     flags = {n: false_if_null(c) for n, c in flag_columns(settings or Flags()).items()}
     return rows.select(*BRONZE, "n_obs", *(c.alias(n) for n, c in flags.items()))
 
