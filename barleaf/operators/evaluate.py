@@ -51,7 +51,7 @@ def newey_west(by_date: DataFrame, column: str = "ic", lag: int = 20) -> DataFra
     var: Column = F.col("g0")
     for k in range(1, lag + 1):
         var = var + 2 * (1 - k / (lag + 1)) * F.col(f"g{k}")
-    se = F.sqrt(F.greatest(var, F.lit(0.0))) / F.col("effective_n")
+    se = F.try_divide(F.sqrt(F.greatest(var, F.lit(0.0))), F.col("effective_n"))
     return sums.select("mean", se.alias("se"), F.try_divide("mean", se).alias("t_stat"), "effective_n")
 
 
@@ -77,11 +77,16 @@ def auc_inputs(panel: DataFrame, score: str, label: str) -> DataFrame:
 def auc(panel: DataFrame, score: str, label: str, buckets: int = 64) -> DataFrame:
     """Pooled area under the ROC curve, exact, ties as a half.
 
-    Counts of distinct scores are ranged into buckets; running sums are taken
-    within buckets and offset by the buckets' totals, so no task sees them all.
+    Counts of distinct scores fall into buckets between their quantiles; running
+    sums are taken within buckets and offset by the buckets' totals, so no task
+    sees them all. The edges come to the driver, so that all uses agree on them.
     """
     counts = auc_inputs(panel, score, label)
-    ranged = counts.repartitionByRange(buckets, "s").withColumn("b", F.spark_partition_id())
+    edges = counts.agg(F.percentile_approx("s", [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or []
+    bucket = F.lit(0)
+    for e in sorted(set(edges)):
+        bucket = bucket + (F.col("s") > e).cast("int")
+    ranged = counts.withColumn("b", bucket)
     before = ranged.groupBy("b").agg(F.sum("neg").alias("n")).select("b", (F.sum("n").over(Window.orderBy("b")) - F.col("n")).alias("before"))
     below = F.sum("neg").over(Window.partitionBy("b").orderBy("s")) - F.col("neg")
     rows = ranged.withColumn("below", below).join(before, "b")

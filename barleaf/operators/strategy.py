@@ -147,7 +147,8 @@ def simulate(prices: DataFrame, weights: DataFrame, *, capital: float = 1e6, cos
         return pd.DataFrame(out, columns=[c.split()[0] for c in EQUITY.split(", ")])
 
     models = weights.select(F.col("model_id").alias("model")).distinct()
-    each = prices.select("ticker", "date", "t_idx", "adj_open", "adj_close").crossJoin(models)  # prices once for each model
+    own = prices.select(*(F.col(c).alias(c) for c in ("ticker", "date", "t_idx", "adj_open", "adj_close")))
+    each = own.crossJoin(models)  # prices once for each model
     return weights.groupBy("model_id").cogroup(each.groupBy("model")).applyInPandas(run, EQUITY)
 
 

@@ -52,8 +52,8 @@ _NW = " + ".join(f"{2 * (1 - k / (_LAGS + 1))!r}e0 * g{k}" for k in range(1, _LA
 
 
 @query(
-    with_ics(f"""select round(mean, 8) as mean, round(se, 8) as se, round(mean / se, 6) as t_stat, effective_n from (
-  select mean, sqrt(greatest(g0 + {_NW}, 0)) / effective_n as se, effective_n from (
+    with_ics(f"""select round(mean, 8) as mean, round(se, 8) as se, round(mean / nullif(se, 0), 6) as t_stat, effective_n from (
+  select mean, sqrt(greatest(g0 + {_NW}, 0)) / nullif(effective_n, 0) as se, effective_n from (
     select first(m) as mean, count(*) as effective_n, {_GAMMA} from (
       select m, d, d as lag0, {", ".join(f"lag(d, {k}) over (order by date) as lag{k}" for k in range(1, _LAGS + 1))} from (select date, avg(ic) over () as m, ic - avg(ic) over () as d from ics))))"""),
     "joined", "labels_t",
@@ -75,7 +75,7 @@ def quantile_spread(p: Panel) -> DataFrame:
 
 @query(
     f""", {_USED}, pooled as (select score, cls, rank() over (order by score) + (count(*) over (partition by score) - 1) / 2e0 as r from used)
-select round((sum(case when cls > 0 then r end) - pos * (pos + 1) / 2e0) / (cast(pos as double) * neg), 8) as auc, cast(pos as bigint) as n_pos, cast(neg as bigint) as n_neg from pooled, (select count(*) filter (where cls > 0) as pos, count(*) filter (where cls <= 0) as neg from used) group by pos, neg""",
+select round((sum(case when cls > 0 then r end) - max(pos) * (max(pos) + 1) / 2e0) / (cast(max(pos) as double) * max(neg)), 8) as auc, cast(max(pos) as bigint) as n_pos, cast(max(neg) as bigint) as n_neg from pooled, (select count(*) filter (where cls > 0) as pos, count(*) filter (where cls <= 0) as neg from used)""",
     "joined", "labels_t",
 )
 def pooled_auc(p: Panel) -> DataFrame:
