@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barleaf.functions.exprs import pct_rank
 from barleaf.operators import calendar, evaluate, strategy
 from barleaf.operators.features import market
 from barleaf.plans.panel import CONFIG, FULL, LN, YEAR, Panel
@@ -126,6 +127,29 @@ def equal_weights(p: Panel) -> DataFrame:
     return strategy.equal_weights(p.joined, calendar.rebalance_dates(p.calendar, CONFIG.backtest))
 
 
+_RANKED = "case when rk >= 0.8 then '{0}' when rk <= 0.2 then '{1}' else '{2}' end"
+
+
+@query(
+    f""", s as (select j.ticker, j.date, -x as score from (select *, {_RETS['ret_21']} as x from joined) j where j.eligible and x is not null and j.t_idx >= 252 and (j.t_idx - 252) % 20 = 0),
+r as (select *, (rank() over (partition by date order by score) + (count(*) over (partition by date, score) - 1) / 2e0) / count(*) over (partition by date) as rk from s)
+select date, ticker, {_RANKED.format('BUY', 'AVOID', 'NEUTRAL')} as signal, {_RANKED.format('ENTRY_RANK,GATE_BYPASSED_BASELINE', 'AVOID_RANK', 'MIDDLE_RANK')} as reasons from r""",
+    "joined",
+)
+def stateless_signals(p: Panel) -> DataFrame:
+    """Signals of a baseline score with nothing held, on rebalance dates."""
+    dates = calendar.rebalance_dates(p.calendar, CONFIG.backtest)
+    rows = p.stock("ret_21").where("eligible and ret_21 is not null").join(dates.select("t_idx"), "t_idx").withColumn("score", -F.col("ret_21"))
+    rows = rows.select("date", "ticker", "eligible", F.lit(False).alias("held"), pct_rank("score", "date").alias("rank_pct"), F.col("score").alias("pred_excess"), F.lit(None).cast("double").alias("prob_cal"), F.lit(0.5).alias("base_rate"), F.lit(None).cast("double").alias("vol_pct"), F.lit(False).alias("units_are_returns"))
+    return strategy.signals(rows).select("date", "ticker", "signal", F.concat_ws(",", "reason_codes").alias("reasons"))
+
+
+@query("select 'market' as model_id, date, round(mkt_index / max(mkt_index) over (order by date rows between unbounded preceding and current row) - 1, 8) as drawdown from mkt where mkt_index is not null", "mkt")
+def market_drawdown(p: Panel) -> DataFrame:
+    rows = p.market.where("mkt_index is not null").select(F.lit("market").alias("model_id"), "date", F.col("mkt_index").alias("nav"))
+    return evaluate.drawdowns(rows).select("model_id", "date", r8("drawdown"))
+
+
 def equity(p: Panel) -> DataFrame:
     weights = picks(p).unionByName(strategy.equal_weights(p.joined, calendar.rebalance_dates(p.calendar, CONFIG.backtest)))
     prices = p.adjusted.select("ticker", "date", "t_idx", "adj_open", "adj_close")
