@@ -38,7 +38,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -344,19 +343,24 @@ def lookup(keys: DataFrame, manifest: list) -> DataFrame:
     nulls = [r.shard for r in manifest if r.first_key is None]
     shards, where = [r.shard for r in filled], {r.shard: (r.path, base) for r, base in zip(manifest, bases(manifest), strict=True)}
 
-    @F.pandas_udf("array<int>")
-    def route(key: pd.Series) -> pd.Series:
-        return key.map(lambda k: nulls if pd.isna(k) else shards[bisect_left(high, k) : bisect_right(low, k)])
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [nulls if k is None else shards[bisect_left(high, k) : bisect_right(low, k)] for k in batch.column("doc_id").to_pylist()]
+            at = np.repeat(np.arange(len(own)), [len(x) for x in own])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at)), pa.array([x for xs in own for x in xs], pa.int32())], ["doc_id", "shard"])
 
-    def fetch(asked: pd.DataFrame) -> pd.DataFrame:
-        path, base = where[int(asked["shard"].iloc[0])]
+    def fetch(asked: pa.Table) -> pa.Table:
+        path, base = where[asked.column("shard")[0].as_py()]
         index, ids = load(path)
-        null = asked["doc_id"].isna().to_numpy()
-        first, run = index.find(asked["doc_id"].fillna(0).to_numpy("i8"), null)
-        rows = [(k, int(index.starts[i + j]) + base, ids[index.starts[i + j] : index.starts[i + j + 1]].astype("i4")) for k, i, n in zip(asked["doc_id"], first, run, strict=True) for j in range(n)]
-        out = pd.DataFrame(rows, columns=["doc_id", "start", "ids"])
-        out["doc_id"] = out["doc_id"].astype("Int64")
-        return out
-
-    asked = pick(keys, doc_id="long").distinct().select(F.col("doc_id"), F.explode(route(F.col("doc_id").cast("string").cast("long"))).alias("shard"))
-    return asked.groupBy("shard").applyInPandas(fetch, "doc_id long, start long, ids array<int>") if manifest else spark.createDataFrame([], "doc_id long, start long, ids array<int>")
+        null = asked.column("doc_id").is_null().to_numpy()
+        first, run = index.find(asked.column("doc_id").fill_null(0).to_numpy(), null)
+        of = np.repeat(np.arange(len(first)), run)
+        at = first[of] + np.arange(len(of)) - np.repeat(np.cumsum(run) - run, run)
+        found = [ids[index.starts[i] : index.starts[i + 1]].astype("i4") for i in at]
+        return pa.table([asked.column("doc_id").take(pa.array(of)), pa.array(index.starts[at] + base), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "start", "ids"])
+
+    schema = "doc_id long, start long, ids array<int>"
+    if not manifest:
+        return spark.createDataFrame([], schema)
+    asked = pick(keys, doc_id="long").distinct().mapInArrow(route, "doc_id long, shard int")
+    return asked.groupBy("shard").applyInArrow(fetch, schema)

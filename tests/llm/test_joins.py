@@ -32,6 +32,7 @@ def brute_top(rows, k=5):
 @pytest.mark.parametrize("clusters", [1, 6])
 def test_top_k_against_brute_force(spark, clusters, monkeypatch):
     monkeypatch.setattr(knn, "BLOCK", 60)
+    monkeypatch.setattr(knn, "QUERY_BLOCK", 2)
     monkeypatch.setattr(knn, "PIVOTS", 12)
     rng = np.random.default_rng(clusters)
     centres = rng.normal(size=(clusters, 8)) * (10 if clusters > 1 else 0)
@@ -99,7 +100,7 @@ def perturbed(rng, words, base, share):
     return [rng.choice(words) if rng.random() < share else w for w in base]
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(2))
 def test_components_against_brute_force(spark, words, seed):
     rng = random.Random(seed)
     bases = [[rng.choice(words) for _ in range(rng.choice([4, 6, 30, 80]))] for _ in range(12)]
@@ -128,6 +129,21 @@ def test_a_large_group_of_near_copies(spark, words, monkeypatch):
     assert same(jaccard.near_duplicates(docs).drop("row").collect(), want)
 
 
+def test_frequent_columns_are_set_apart(spark, words, monkeypatch):
+    """With columns of a fifth of all documents set apart, results stay the same."""
+    rng = random.Random(4)
+    base, passage = [rng.choice(words) for _ in range(40)], [rng.choice(words) for _ in range(25)]
+    rows = [(i, " ".join(perturbed(rng, words, base, rng.choice([0, 0.01, 0.03])) if i % 3 else [rng.choice(words) for _ in range(15)] + passage)) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(jaccard, "FREQUENT_SHARE", 0.2)
+    monkeypatch.setattr(jaccard, "LEAST_FREQUENT", 2)
+    numbered = docs.selectExpr("monotonically_increasing_id() as rid", "doc_id", "text")
+    found = jaccard.frequent_columns(numbered)
+    counts = Counter(x for _, t in rows for x in set(shingles.shingle_sets([t])[0].tolist()))
+    assert {k for k, n in counts.items() if n >= 0.2 * len(rows)} <= set(found.tolist()) and len(found) < len(counts)
+    assert same(jaccard.near_duplicates(docs).drop("row").collect(), brute_components(rows))
+
+
 def test_jaccard_rows(docs, clashing, empty, rows):
     want = brute_components(rows)
     assert same(jaccard.near_duplicates(docs).drop("row").collect(), want)

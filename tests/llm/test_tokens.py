@@ -107,11 +107,14 @@ def test_store_rows(spark, docs, clashing, empty, rows, library, tokenizer_path)
 
 
 def test_lookup_by_key(spark, docs, rows, library, tokenizer_path):
+    big = (1 << 53) + 1  # beyond what a double tells apart
+    docs = docs.union(spark.createDataFrame([(big, "big", None, None, 3), (big - 1, "less", None, None, 4)], docs.schema))
+    rows = [*rows, (big, "big"), (big - 1, "less")]
     manifest = tokenstore.write_store(docs, tokenizer_path, 2)
-    asked = spark.createDataFrame([(3,), (7,), (7,), (999,), (-4,), (None,)], "doc_id long")
+    asked = spark.createDataFrame([(3,), (7,), (7,), (999,), (-4,), (None,), (big,)], "doc_id long")
     got = tokenstore.lookup(asked, manifest).collect()
     ids = lambda t: [*library.encode(t or "", add_special_tokens=False).ids, 2]
-    want = [(r[0], ids(r[1])) for r in rows if r[0] in (3, 7, None)]
+    want = [(r[0], ids(r[1])) for r in rows if r[0] in (3, 7, None, big)]
     assert same([(r.doc_id, r.ids) for r in got], want)
 
 
