@@ -25,11 +25,24 @@ _owner = [""]
 
 def pick(df: DataFrame, **types: str) -> DataFrame:
     """The named columns, cast to the given types, whatever else ``df`` holds."""
+    bound_batches(df.sparkSession)
     inner = [f"__{i}" for i in range(len(df.columns))]
     flat = df.toDF(*inner)
     return flat.select(*(F.col(inner[df.columns.index(name)]).cast(kind).alias(name) for name, kind in types.items()))
 
 
+#: Bytes of an Arrow batch that goes to Python. Rows alone, Spark's default, don't bound it: texts can be long.
+BATCH_BYTES = 8 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Sets the session's limit for Arrow batches to BATCH_BYTES, unless a lower one is set."""
+    now = spark.conf.get(_BATCH_SETTING).rstrip("b")
+    if not (now.isdigit() and 0 < int(now) <= BATCH_BYTES):
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
