@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barleaf.llm import bpe, jaccard, mixing, quality, secrets
-from barleaf.llm.common import owned, pick, release, shared_root
+from barleaf.llm.common import drop_path, owned, pick, release, shared_root
 
 COLUMNS = {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "n_chars": "long"}
 #: SQL can't express the trained classifier, the seeded mixture or byte-pair merges.
@@ -64,7 +64,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     groups = jaccard.near_duplicates(docs.select(F.col("key").alias("doc_id"), "text"))
     first = groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("key")).agg(F.count("*").alias("k"))
     first = jaccard.materialize(first, "first")
-    out = docs.join(first.select("key"), "key", "left_semi")
+    # as many keys as documents: shuffled at every size, with the hash table on the side without texts
+    out = docs.join(first.select("key").hint("shuffle_hash"), "key", "left_semi")
     if first.where("k > 1").limit(1).count():
         out = out.dropDuplicates(["key"])
     return out.select(*COLUMNS)
@@ -87,7 +88,7 @@ def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
         times = times.withColumn("i", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("times"))))
         taken = docs.join(times, ["key", "i"])
     else:
-        taken = docs.join(times, "key")
+        taken = docs.join(times.hint("shuffle_hash"), "key")
     return taken.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("times"))).alias("i")).drop("i")
 
 
@@ -112,4 +113,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = f(spark, docs, sf_dir)
         out.write.mode("overwrite").option("compression", "zstd").parquet(path := f"{root}/{i}")
         docs = spark.read.schema(out.schema).parquet(path)
+        if i:
+            drop_path(spark, f"{root}/{i - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)
