@@ -33,7 +33,7 @@ PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 
 PIECE = re.compile(r"[ \t\n\r\f\v]*[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+")
 ODD_SPACE = re.compile(r"[^\S \t\n\r\f\v]")
-CACHE_WORDS, CACHE_PIECES, CACHE_CHARS = 500_000, 250_000, 48
+CACHE_WORDS, CACHE_PIECES, CACHE_CHARS = 350_000, 200_000, 48
 
 #: Rows that leave at once where ids themselves are returned.
 ROWS = 512

@@ -49,7 +49,7 @@ from barleaf.llm.tokenstore import mix
 #: Links need PERCENT * union <= 100 * intersection.
 PERCENT = 75
 #: Input bytes that a column block is made of, and characters taken into one slice.
-BLOCK_BYTES, SLICE_CHARS = 4 << 20, 4 << 20
+BLOCK_BYTES, SLICE_CHARS = 4 << 20, 2 << 20
 #: Pairs compared by place and size in the last round, for each entry of a column that still has two groups; above that, more hub rounds go first, HUB_ROUNDS at most.
 PAIRS_EACH, HUB_ROUNDS = 64, 6
 
