@@ -1,12 +1,21 @@
 """Secrets in texts: three patterns, and strings that a tokenizer's vocabulary covers badly.
 
 Random strings need about one token for two characters where prose needs one
-for four. A candidate is a run of 20 or more letters, digits and ``+/_=-``
-that has at least four digits and four letters; it counts as a secret (kind
-``random``) when its characters per token fall below ``RATIO`` under a
-tiktoken vocabulary. Known digests (hex of 32, 40, 56, 64, 96 or 128 digits)
-and identifiers (UUIDs, digits with separators, words joined by separators)
-are left out, and so are candidates that overlap a span of another kind.
+for four. A candidate is a run of 20 or more letters, digits and ``+/_=-``; it
+counts as a secret (kind ``random``) when its characters per token fall below
+``RATIO`` under a tiktoken vocabulary. In a run that does not, the parts
+between separators are rated: neighbours that no well covered word stands
+between count together, from 20 characters on, so that a path or a name before
+a secret does not hide it.
+
+Left out are known digests (hex of 32, 40, 56, 64, 96 or 128 digits), UUIDs,
+digits with separators, and plain words, alone or joined by separators, with
+up to three digits at their ends in all. Words are plain unless their
+letters per token (in words of four letters or more, 12 letters at least, in
+upper or lower case, whichever is better) fall below ``PLAIN``: long words of
+other languages lie above it, random letters mostly below. What overlaps a
+span of another kind is left out too. The ratio can't tell sequences like an
+alphabet or bases of DNA from random letters.
 
 Defined results: a null text counts as empty and has no span; null and
 repeated ``doc_id`` values pass through, one row per input row; an empty table
@@ -33,11 +42,18 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 LEAST_VALUE = 6
 
+LEAST = 20
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 DIGEST = re.compile(r"[0-9a-fA-F]+")
 DIGEST_DIGITS = {32, 40, 56, 64, 96, 128}
-IDENTIFIER = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9+/_=-]+|([A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})([+/_=-]+([A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}))*[+/_=-]*")
-RATIO = 2.4
+IDENTIFIER = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9+/_=-]+")
+WORD = r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})"
+WORDS = re.compile(rf"[+/_=-]*{WORD}(?:[+/_=-]+{WORD})*[+/_=-]*")
+#: Words with digits at their ends, as in utf8 or v2.
+NUMBERED = re.compile(r"[+/_=-]*(?:[A-Z]?[a-z]+|[A-Z]+)?[0-9]*(?:[+/_=-]+(?:[A-Z]?[a-z]+|[A-Z]+)?[0-9]*)*")
+PART = re.compile(r"[A-Za-z0-9]+")
+LETTERS = re.compile(r"[A-Za-z]{4,}")
+RATIO, PLAIN, PLAIN_LETTERS, NUMBERED_DIGITS = 2.4, 2.05, 12, 3
 
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long"
 
@@ -52,8 +68,11 @@ class Vocabulary:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
         self.encoding = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
+    def tokens(self, text: str) -> int:
+        return len(self.encoding.encode_ordinary(text))
+
     def ratio(self, text: str) -> float:
-        return len(text) / len(self.encoding.encode_ordinary(text))
+        return len(text) / self.tokens(text)
 
 
 @lru_cache(maxsize=2)
@@ -73,22 +92,44 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans + [(m.start(), 2, m.end()) for m in HEX.finditer(text)])
 
 
-def known(s: str) -> bool:
-    """A digest or an identifier."""
-    return (len(s) in DIGEST_DIGITS and DIGEST.fullmatch(s) is not None) or IDENTIFIER.fullmatch(s) is not None
+def plain(s: str, vocab: Vocabulary) -> bool:
+    """Words, alone or joined by separators, that the vocabulary covers as words."""
+    if WORDS.fullmatch(s) is None and (sum(map(str.isdigit, s)) > NUMBERED_DIGITS or NUMBERED.fullmatch(s) is None):
+        return False
+    words = LETTERS.findall(s)
+    letters = sum(map(len, words))
+    return letters < PLAIN_LETTERS or letters / sum(min(vocab.tokens(w), vocab.tokens(w.lower())) for w in words) >= PLAIN
+
+
+def known(s: str, vocab: Vocabulary) -> bool:
+    """A digest, an identifier or plain words."""
+    return (len(s) in DIGEST_DIGITS and DIGEST.fullmatch(s) is not None) or IDENTIFIER.fullmatch(s) is not None or plain(s, vocab)
+
+
+def parts(s: str, vocab: Vocabulary, ratio: float) -> Iterator[tuple[int, int]]:
+    """(start, end) from one badly covered part to another, with no well covered part between them."""
+    start = end = -1
+    for m in PART.finditer(s):
+        short = vocab.ratio(m[0]) >= ratio
+        if not short and not plain(m[0], vocab):
+            start, end = m.start() if start < 0 else start, m.end()
+        elif short and start >= 0:
+            yield start, end
+            start = -1
+    if start >= 0:
+        yield start, end
 
 
 def random_spans(text: str, taken: list[tuple[int, int, int]], vocab: Vocabulary, ratio: float = RATIO) -> list[tuple[int, int, int]]:
+    def counts(a: int, b: int) -> bool:
+        return b - a >= LEAST and not any(x < b and a < y for x, _, y in taken) and not known(text[a:b], vocab) and vocab.ratio(text[a:b]) < ratio
+
     out = []
     for m in CANDIDATE.finditer(text):
-        s = m[0]
-        digits = sum(map(str.isdigit, s))
-        if digits < 4 or sum(map(str.isalpha, s)) < 4 or known(s):
-            continue
-        if any(a < m.end() and m.start() < b for a, _, b in taken):
-            continue
-        if vocab.ratio(s) < ratio:
+        if counts(*m.span()):
             out.append((m.start(), 3, m.end()))
+        else:
+            out += [(m.start() + a, 3, m.start() + b) for a, b in parts(m[0], vocab, ratio) if counts(m.start() + a, m.start() + b)]
     return out
 
 

@@ -47,6 +47,29 @@ def test_random_strings_and_exclusions(ranks_path):
     assert kinds("an ordinary sentence of ordinary words") == []
 
 
+def test_random_strings_of_every_alphabet(ranks_path):
+    import string
+
+    vocab, rng = secrets.vocabulary(ranks_path), random.Random(8)
+    found = lambda t: [t[a:b] for a, k, b in secrets.all_spans(t, vocab) if secrets.KINDS[k] == "random"]
+    least = {string.ascii_letters + string.digits: 1, string.ascii_letters: 1, string.ascii_uppercase: 0.97, string.ascii_lowercase: 0.95}
+    for letters, share in least.items():
+        for n in (20, 24, 32, 40):
+            keys = ["".join(rng.choice(letters) for _ in range(n)) for _ in range(300)]
+            assert sum(found(f"key is {s} end") == [s] for s in keys) / 300 >= share, (letters, n)
+    secret, path = "q8Zr2LkW0xT9vBn4HsYp7Gd1", "documentation/installation/international/administration/"
+    assert found(f"see {path}{secret}/documentation/installation") == [secret]
+    assert found(f"see {path}q8Zr2LkW0x_T9vBn4HsYp/documentation/installation") == ["q8Zr2LkW0x_T9vBn4HsYp"]
+    assert found(f"see {path}{'deadbeef' * 3}/{path}{secret}") == [secret]
+    assert found("XQWZT-PLKMN-VBHGF-RTYUJ") == ["XQWZT-PLKMN-VBHGF-RTYUJ"]
+    for words in (
+        "Rechtsschutzversicherungsgesellschaften Donaudampfschifffahrtsgesellschaft Grundstucksverkehrsgenehmigung lentokonesuihkuturbiinimoottori anticonstitutionnellement",
+        "getElementsByTagNameAndClassName MAX_CONNECTION_TIMEOUT_SECONDS /usr/lib/to/do/in/it/at/utf8/v2 convert_utf8_to_x86_text com/google/android/gms/internal/zzbfm",
+        "-------------------- " + "x" * 5000,
+    ):
+        assert found(words) == []
+
+
 def test_scan_rows(docs, clashing, empty, rows, ranks_path):
     def expected(r):
         found = plain_base(r[1])
