@@ -17,8 +17,11 @@ ENDS = {
 }
 LIST_MARKUP = frozenset("li dt dd tr td th tbody thead tfoot caption html head body".split())
 
-#: A comment, a declaration, a tag with its quoted values, or, where quotes don't close, up to the next >. Nothing is tried twice.
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/><]*+)((?:[^>"']++|"[^"]{0,8192}+"|'[^']{0,8192}+')*+)>|<(/?)([a-zA-Z][^\s/><]*+)([^>]*+)>""", re.S)
+#: A comment, a declaration, a whole tag, or the start of one that ``Page._tag_end`` reads on. The bounds here
+#: only say which tags are read at once; they change no result. Nothing is tried twice.
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/><]*+)(?:((?:[\s/]*+[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]{0,1024}+"|'[^']{0,1024}+'|[^\s>"'][^\s>]*+|(?=>))|(?!\s*+=))){0,32}+[\s/]*+)>)?+""", re.S)
+#: An attribute, up to the opening quote of its value if that has one. Quotes elsewhere are ordinary characters, as in HTML.
+ATTRIBUTE = re.compile(r"""[\s/]*+(?:[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:(["'])|[^\s>]*+))?+)?+""")
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HINT = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
@@ -33,6 +36,7 @@ class Page:
         self._open: list[tuple[str, int]] = []  # tag, node; -1 for inline elements
         self._count: dict[str, int] = {}
         self._at, self._parts, self._links = 0, [], 0
+        self._open_ended: set[int] = set()  # places between attributes from where a quote doesn't close
         self._read(html)
 
     def _read(self, html: str) -> None:
@@ -46,11 +50,16 @@ class Page:
             if m.start() > at:
                 self._text(html[at : m.start()])
             at = m.end()
-            name = m[2] or m[5]
-            if not name:
+            if not m[2]:
                 continue
-            name = name.lower()
-            if m[1] or m[4]:
+            name, attributes = m[2].lower(), m[3]
+            if attributes is None:
+                close = self._tag_end(html, at)
+                if close < 0:
+                    self._text(m[0])
+                    continue
+                at, attributes = close + 1, html[at:close]
+            if m[1]:
                 self._close(name)
             elif name in RAW:
                 # up to the end tag of the same name
@@ -63,9 +72,28 @@ class Page:
             elif name == "hr":
                 self._flush()
             elif name not in VOID:
-                self._start(name, m[3] if m[2] else m[6])
+                self._start(name, attributes)
         self._flush()
 
+    def _tag_end(self, html: str, at: int) -> int:
+        """Where the > of a tag is, after its quoted values of any length; where a quote doesn't close, the next >; -1 if there is none."""
+        start, seen = at, []
+        while at not in self._open_ended:
+            seen.append(at)
+            m = ATTRIBUTE.match(html, at)
+            at = m.end()
+            if m[1]:
+                at = html.find(m[1], at) + 1
+                if not at:
+                    break
+            elif at == len(html):
+                break
+            elif html[at] == ">":
+                return at
+        # each place is gone through once for all tags that end like this
+        self._open_ended.update(seen)
+        return html.find(">", start)
+
     def _text(self, text: str) -> None:
         self._parts.append(text)
         if self._count.get("a"):

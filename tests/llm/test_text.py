@@ -3,10 +3,11 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
-from barleaf.llm import extract, langid, pagemodel, quality, secrets
+from barleaf.llm import dom, extract, langid, pagemodel, quality, secrets
 
 from .conftest import same
 
@@ -179,6 +180,27 @@ def test_main_text_of_a_page():
     assert extract.main_text(PAGE, pagemodel.trained()).split("\n") == want
 
 
+def test_quoted_values_of_any_length():
+    model = pagemodel.trained()
+    for n in (10, 1020, 8_000, 9_000, 300_000):
+        for q, p in ("\"'", "'\""):
+            picture = f"<img alt=x src={q}data:image/svg+xml,<svg a={p}b{p}>{'<path/>x' * (n // 8)}</svg>{q}>"
+            assert dom.Page(f"<p data-x = {q}{'</p>y' * (n // 5)}{q} class=story>before {picture}after</p>").blocks == [(1, "before after")]
+    assert dom.Page("<p " + "a='>' " * 100 + ">text</p>").blocks == [(1, "text")]
+    assert extract.main_text(PAGE.replace("<b>First", f"<img src='{'<p>z</p>' * 5000}'><b>First"), model) == extract.main_text(PAGE, model)
+
+
+def test_quotes_that_do_not_close_or_open():
+    blocks = lambda t: [b for _, b in dom.Page(t).blocks]
+    assert blocks("<p title=it's>one</p><p>don't</p><p 'x>two</p>") == ["one", "don't", "two"]
+    assert blocks('<p a="1" title="never>one</p><p>two</p>') == ["one", "two"]
+    assert blocks("<p a='>one <b") == ["one <b"]
+    # many tags that each run up to a quote that doesn't close
+    start = time.monotonic()
+    dom.Page("<a " + """ x="><a y='" ' """ * 20_000 + ' z="')
+    assert time.monotonic() - start < 20
+
+
 def test_page_rows(spark):
     rows = [(1, "u", PAGE), (1, "u", PAGE), (None, None, None), (2, None, ""), (3, "v", "<"), (4, "w", "plain words only"), (5, "x", "<p" * 3000), (6, "y", "<b>" * 3000 + "deep" + "</x>" * 3000), (7, "z", "<article><p>" + "long text. " * 20_000)]
     extra = spark.createDataFrame([(*r, "q", "q") for r in rows], "page_id long, url string, html string, TEXT string, n_chars string")
