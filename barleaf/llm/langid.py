@@ -3,9 +3,12 @@
 Each language has a smoothed multinomial over character trigrams of its words
 (with word ends). A document is a mixture: each word comes from one language,
 and expectation-maximisation finds the languages' shares. The set of languages
-grows from the best single one as long as the likelihood, less half the
-logarithm of the number of words for each parameter added, gets better; the
-prediction is the language with the largest share in that set.
+grows from the best single one, by their shares among all, up to all learned
+languages; of these sets it is the one with the largest likelihood, less half
+the logarithm of the number of words and the logarithm of the number of
+languages for each language added. A document is left when even a perfect fit
+could not make up for one more. The prediction is the language with the largest
+share in that set.
 
 Counts are learned from a sample of labelled documents: all of a language that
 has up to ``PER_LANGUAGE`` of them, else about so many, chosen by a hash of the
@@ -31,7 +34,7 @@ from barleaf.llm.common import pick
 from barleaf.llm.tokenstore import mix
 
 PER_LANGUAGE, FOLDS, HELD_OUT = 1000, 4, 2
-ALPHABET, MOST_LANGUAGES, ROUNDS = 64, 3, 8
+ALPHABET, ROUNDS = 64, 8
 #: Characters that are scored at once, for one language.
 CHUNK = 4 << 20
 SMOOTH = 0.1
@@ -116,16 +119,26 @@ def mixtures(texts: list[str], table: np.ndarray) -> np.ndarray:
     best, set_ = single.max(1), np.zeros((len(has), langs))
     set_[np.arange(len(has)), single.argmax(1)] = 1
     chosen = set_.copy()
-    if langs > 1:
-        every, _ = em(like, doc, first, n, np.full((len(has), langs), 1 / langs))
-        order = np.argsort(-(every + set_), axis=1, kind="stable")
-        for k in range(2, min(langs, MOST_LANGUAGES) + 1):
-            start = np.zeros_like(set_)
-            np.put_along_axis(start, order[:, :k], 1 / k, axis=1)
-            share, fit = em(like, doc, first, n, start)
-            fit = fit - (k - 1) * (0.5 * np.log(n) + np.log(langs))
-            better = fit > best
-            chosen[better], best = share[better], np.maximum(fit, best)
+    cost, order = 0.5 * np.log(n) + np.log(langs), np.zeros((len(has), langs), "i8")
+    at = np.arange(len(has))
+    for k in range(2, langs + 1):
+        # no fit is above 0
+        rest = best[at] < -(k - 1) * cost[at]
+        if not rest.all():
+            at, like = at[rest], like[rest[doc]]
+            doc = np.repeat(np.arange(len(at)), n[at])
+        if not len(at):
+            break
+        first = np.cumsum(n[at]) - n[at]
+        if k == 2:
+            every, _ = em(like, doc, first, n[at], np.full((len(at), langs), 1 / langs))
+            order[at] = np.argsort(-(every + set_[at]), axis=1, kind="stable")
+        start = np.zeros((len(at), langs))
+        np.put_along_axis(start, order[at, :k], 1 / k, axis=1)
+        share, fit = em(like, doc, first, n[at], start)
+        fit = fit - (k - 1) * cost[at]
+        better = fit > best[at]
+        chosen[at[better]], best[at] = share[better], np.maximum(fit, best[at])
     out[has] = chosen
     return out
 

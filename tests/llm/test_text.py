@@ -127,6 +127,23 @@ def test_mixture_finds_both_languages(spark, languages):
     assert mixed[1].tolist() == [0, 1, 0] and mixed[2].sum() == 0
 
 
+def test_mixture_of_many_languages(spark):
+    sounds = [["ka", "ri", "mo", "tu"], ["sch", "ung", "eit", "ver"], ["eau", "oi", "què", "ment"], ["zyg", "wx", "prz", "ów"], ["ijn", "oo", "aa", "dse"], ["hv", "jæ", "ðu", "fn"]]
+
+    def text(lang, seed, n):
+        rng = random.Random(f"{lang}{seed}")
+        return " ".join("".join(rng.choice(sounds[lang]) for _ in range(rng.randint(2, 4))) for _ in range(n))
+
+    rows = [(i, text(i % 6, i, 40), f"l{i % 6}") for i in range(120)]
+    table = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))[1]
+    for k in (2, 3, 4, 5, 6):
+        docs = [" ".join(text(lang, 900, 80) for lang in range(k)), text(5, 901, 30), "12"]
+        mixed = langid.mixtures(docs, table)
+        assert all(abs(mixed[0][lang] - (1 / k if lang < k else 0)) < 0.04 for lang in range(6)), (k, mixed[0])
+        assert mixed[1].tolist() == [0, 0, 0, 0, 0, 1] and mixed[2].sum() == 0
+        assert (langid.mixtures(docs[:1], table)[0] == mixed[0]).all()
+
+
 def test_language_rows(spark, docs, clashing, empty, rows):
     for table in (docs, clashing):
         got = langid.identify(table).collect()
