@@ -7,10 +7,13 @@ from html import unescape
 
 #: HTML's elements by how they are read.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg math object canvas video audio select button".split())
+#: What is never text of a page: its content is passed over. Everything else is read and left to the model.
+RAW = frozenset("script style textarea title iframe template svg select".split())
 BLOCK = frozenset(
     "html head body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption legend search".split()
 )
+#: Elements inside lines that are nodes too, so that the model judges them apart from the text around them.
+JUDGED = frozenset("noscript xmp noembed noframes canvas video audio button".split())
 #: A start tag of these ends an open element of the second set, unless one of the third stands between.
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
@@ -110,12 +113,12 @@ class Page:
             self._parts, self._links = [], 0
 
     def _start(self, name: str, attributes: str) -> None:
-        if name not in BLOCK:
+        if name not in BLOCK and name not in JUDGED:
             self._open.append((name, -1))
             self._count[name] = self._count.get(name, 0) + 1
             return
         self._flush()
-        if name not in LIST_MARKUP and self._count.get("p"):
+        if name not in LIST_MARKUP and name not in JUDGED and self._count.get("p"):
             self._pop_to({"p"}, {"table", "td", "th", "caption", "object"})
         if name in ENDS and any(self._count.get(x) for x in ENDS[name][0]):
             self._pop_to(*ENDS[name])
@@ -148,7 +151,7 @@ class Page:
                 return
 
     def _close(self, name: str) -> None:
-        if name in BLOCK:
+        if name in BLOCK or name in JUDGED:
             self._flush()
             if self._count.get(name):
                 while self._pop() != name:

@@ -218,6 +218,19 @@ def test_quotes_that_do_not_close_or_open():
     assert time.monotonic() - start < 20
 
 
+def test_elements_that_are_read_and_passed_over():
+    blocks = lambda t: [b for _, b in dom.Page(t).blocks]
+    assert blocks("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be.</p>") == ["Let x=2 be."]
+    assert blocks("<p>See <object data=a.pdf>the paper</object>.</p>") == ["See the paper."]
+    for tag in ("noscript", "canvas", "video", "audio", "xmp", "noembed", "noframes", "button"):
+        page = dom.Page(f"<p>One <{tag}>two</{tag}> three.</p>")
+        assert page.tags == ["#root", "p", tag] and page.blocks == [(1, "One"), (2, "two"), (1, "three.")]
+    for tag in ("script", "style", "textarea", "title", "iframe", "template", "svg", "select"):
+        assert blocks(f"<p>One <{tag}>two</{tag}> three.</p>") == ["One three."]
+    page = PAGE.replace("Last block of the text", "Last block of <math><mi>n</mi></math> texts")
+    assert "Last block of n texts, it ends here." in extract.main_text(page, pagemodel.trained())
+
+
 def test_page_rows(spark):
     rows = [(1, "u", PAGE), (1, "u", PAGE), (None, None, None), (2, None, ""), (3, "v", "<"), (4, "w", "plain words only"), (5, "x", "<p" * 3000), (6, "y", "<b>" * 3000 + "deep" + "</x>" * 3000), (7, "z", "<article><p>" + "long text. " * 20_000)]
     extra = spark.createDataFrame([(*r, "q", "q") for r in rows], "page_id long, url string, html string, TEXT string, n_chars string")
