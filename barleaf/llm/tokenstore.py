@@ -10,9 +10,11 @@ for each shard. A shard has
   with, by slot, a 32-bit fingerprint, the first document of the key and how
   many documents have it.
 
-A keyed read hashes the key, compares the fingerprint and reads one slice; its
-cost depends on neither the shard's nor the corpus's size. The hash is the
-levelled bit-array construction of Limasset et al. 2017 ("Fast and scalable
+A keyed read hashes the key, compares the fingerprint and reads one slice of
+``.ids``. The first of a task reads the shard's whole ``.idx`` and ranks its bit
+arrays, which costs in proportion to the shard's documents (shards are bounded
+by ``SHARD_BYTES``); with those in memory the cost of a read depends on neither
+the shard's nor the corpus's size. The hash is the levelled bit-array construction of Limasset et al. 2017 ("Fast and scalable
 minimal perfect hashing for massive key sets").
 
 Files are written under the name of the task attempt and only those of the
@@ -304,6 +306,24 @@ def load(stem: str) -> tuple[ShardIndex, np.ndarray]:
     return index, np.frombuffer(data, "<u2" if len(data) == 2 * index.starts[-1] else "<u4")
 
 
+def load_slices(stem: str, asked: np.ndarray, null: np.ndarray) -> tuple[ShardIndex, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Of the asked keys: the index, the asked key and the document of each hit, and its ids. Of ``.ids`` only these are read."""
+    where, inner = files(stem)
+    with where.open_input_stream(f"{inner}.idx") as f:
+        index = ShardIndex.load(f.read())
+    first, run = index.find(asked, null)
+    of = np.repeat(np.arange(len(first)), run)
+    at = first[of] + np.arange(len(of)) - np.repeat(np.cumsum(run) - run, run)
+    with where.open_input_file(f"{inner}.ids") as f:
+        kind = np.dtype("<u2" if f.size() == 2 * index.starts[-1] else "<u4")
+        spans = [(int(index.starts[i]) * kind.itemsize, int(index.starts[i + 1] - index.starts[i]) * kind.itemsize) for i in at]
+        found = []
+        for start, size in spans:
+            f.seek(start)
+            found.append(np.frombuffer(f.read(size), kind))
+    return index, of, at, found
+
+
 def bases(manifest: list) -> list[int]:
     """Ids before each shard."""
     return [0, *np.cumsum([r.n_ids for r in manifest]).tolist()][:-1]
@@ -351,12 +371,9 @@ def lookup(keys: DataFrame, manifest: list) -> DataFrame:
 
     def fetch(asked: pa.Table) -> pa.Table:
         path, base = where[asked.column("shard")[0].as_py()]
-        index, ids = load(path)
         null = asked.column("doc_id").is_null().to_numpy()
-        first, run = index.find(asked.column("doc_id").fill_null(0).to_numpy(), null)
-        of = np.repeat(np.arange(len(first)), run)
-        at = first[of] + np.arange(len(of)) - np.repeat(np.cumsum(run) - run, run)
-        found = [ids[index.starts[i] : index.starts[i + 1]].astype("i4") for i in at]
+        index, of, at, found = load_slices(path, asked.column("doc_id").fill_null(0).to_numpy(), null)
+        found = [ids.astype("i4") for ids in found]
         return pa.table([asked.column("doc_id").take(pa.array(of)), pa.array(index.starts[at] + base), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "start", "ids"])
 
     schema = "doc_id long, start long, ids array<int>"

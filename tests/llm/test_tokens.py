@@ -106,6 +106,42 @@ def test_store_rows(spark, docs, clashing, empty, rows, library, tokenizer_path)
     assert tokenstore.read_store(spark, []).count() == 0
 
 
+def test_keyed_read_reads_its_slices_only(docs, tokenizer_path, monkeypatch):
+    manifest, files, read = tokenstore.write_store(docs, tokenizer_path, 2), tokenstore.files, []
+    shard = max(manifest, key=lambda r: r.n_ids)
+    index, every = tokenstore.load(shard.path)
+
+    class Counted:
+        def __init__(self, f):
+            self.f = f
+
+        def __getattr__(self, name):
+            return getattr(self.f, name)
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.f.close()
+
+        def read(self, *n):
+            data = self.f.read(*n)
+            read.append(len(data))
+            return data
+
+    class Where:
+        def __init__(self, where):
+            self.open_input_stream = lambda path: where.open_input_stream(path) if path.endswith(".idx") else Counted(where.open_input_stream(path))
+            self.open_input_file = lambda path: Counted(where.open_input_file(path))
+
+    monkeypatch.setattr(tokenstore, "files", lambda uri: (Where(files(uri)[0]), files(uri)[1]))
+    for i in range(len(index.keys)):
+        read.clear()
+        _, of, at, found = tokenstore.load_slices(shard.path, index.keys[i : i + 1], index.null[i : i + 1])
+        assert i in at and all((ids == every[index.starts[k] : index.starts[k + 1]]).all() for k, ids in zip(at, found, strict=True))
+        assert sum(read) == every.itemsize * sum(map(len, found))
+
+
 def test_lookup_by_key(spark, docs, rows, library, tokenizer_path):
     big = (1 << 53) + 1  # beyond what a double tells apart
     docs = docs.union(spark.createDataFrame([(big, "big", None, None, 3), (big - 1, "less", None, None, 4)], docs.schema))
