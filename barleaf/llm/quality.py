@@ -4,8 +4,9 @@
    gives each document a log-likelihood ratio of good to bad. It is trained on
    up to ``TRAIN`` labelled documents, chosen by a hash of the key; that bound
    is a parameter.
-2. *Sites.* A document's source is its host (up to the first slash) and path
-   (the next part; the language where there is none). Grouped aggregates of the
+2. *Sites.* A document's source, less a scheme like ``https://``, is its host (up
+   to the first slash) and path (the next part; the language where there is
+   none). Grouped aggregates of the
    documents' probabilities give each host a rate that is shrunk toward the
    rate of all, and each path one that is shrunk toward its host's. How much is
    estimated from the spread of the rates (beta-binomial, method of moments), so
@@ -17,7 +18,9 @@ Defined results: null and empty texts have no evidence for them and are judged
 as texts without letters are; a null source is a host of its own; without
 labels of both kinds every document gets the labels' rate (1 without labels);
 null keys and repeated rows pass through, one row per input row; an empty table
-gives an empty result.
+gives an empty result. A key counts once in training, however often its rows or
+labels are repeated: with the mean of its labels (good from above one half) and,
+if its rows differ, the text with the smallest hash.
 """
 
 from __future__ import annotations
@@ -97,16 +100,19 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN) -> Model:
     """The model, from at most ``most`` labelled documents."""
-    chosen = pick(labels, doc_id="long", quality="double").where("doc_id is not null and quality is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(most)
+    known = pick(labels, doc_id="long", quality="double").where("doc_id is not null and quality is not null")
+    chosen = known.groupBy("doc_id").agg(F.avg("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     # ``most`` rows of two numbers: bounded by the parameter, so it may be broadcast
-    rows = pick(docs, doc_id="long", text="string").join(F.broadcast(chosen), "doc_id").select("text", "quality")
+    rows = pick(docs, doc_id="long", text="string").join(F.broadcast(chosen), "doc_id")
+    one = rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("first"), F.first("quality").alias("quality"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = [features(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column("quality")], ["x", "y"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(x, pa.list_(pa.float64())), batch.column("quality")], ["doc_id", "x", "y"])
 
-    found = rows.mapInArrow(run, "x array<double>, y double").orderBy("y", F.xxhash64("x")).limit(2 * most).toArrow()
+    # at most ``most`` rows, in an order of their own so that sums come out alike
+    found = one.select("doc_id", "first.text", "quality").mapInArrow(run, "doc_id long, x array<double>, y double").orderBy("doc_id").toArrow()
     x = np.array(found.column("x").to_pylist(), "f8").reshape(-1, FEATURES)
     return fit(x, (found.column("y").to_numpy() > 0.5).astype("f8"))
 
@@ -160,8 +166,9 @@ def site_rates(evidence: DataFrame, rate: float) -> DataFrame:
 
 def site_columns(df: DataFrame) -> DataFrame:
     """Adds host and path, never null and never mixing null with text."""
-    host = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), F.substring_index("source", "/", 1)))
-    path = F.get(F.split(F.col("source"), "/"), F.lit(1))
+    parts = F.split(F.regexp_replace("source", "^[A-Za-z][A-Za-z0-9+.-]*://", ""), "/")
+    host = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), F.get(parts, F.lit(0))))
+    path = F.get(parts, F.lit(1))
     return df.withColumns({"host": host, "path": F.coalesce(F.concat(F.lit("p"), path), F.concat(F.lit("l"), F.col("lang")), F.lit("n"))})
 
 

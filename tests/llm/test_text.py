@@ -270,6 +270,62 @@ def test_quality_of_unlabelled_documents(judged):
     assert prior("host0") < min(prior(f"host{k}") for k in range(1, 10))
 
 
+def test_posteriors_against_a_plain_computation(judged):
+    """Rates, weights and posteriors, site by site in plain Python from the evidence."""
+    from math import exp, log
+
+    docs, labels, rows = judged
+    model = quality.train(docs, labels)
+    got = quality.classify(docs, labels).collect()
+    llr = {r.doc_id: r.llr for r in got}
+    base = log(model.rate / (1 - model.rate))
+    p = {k: 1 / (1 + exp(-(v + base))) for k, v in llr.items()}
+    site = {r[0]: (r[3].split("/")[0], r[3].split("/")[1] if "/" in r[3] else None) for r in rows}
+
+    def weight(groups):
+        """groups: (sum, number, rate above)."""
+        spread = sum((s / n - m) ** 2 - m * (1 - m) / n for s, n, m in groups) / len(groups)
+        mean = sum(m * (1 - m) for _, _, m in groups) / len(groups)
+        return min(quality.MOST_WEIGHT, max(quality.LEAST_WEIGHT, mean / max(spread, 1e-9) - 1))
+
+    def sums(of):
+        out = {}
+        for k, x in p.items():
+            s, n = out.get(of(k), (0.0, 0))
+            out[of(k)] = s + x, n + 1
+        return out
+
+    mu = sum(p.values()) / len(p)
+    hosts = sums(lambda k: site[k][0])
+    kh = weight([(s, n, mu) for s, n in hosts.values()])
+    above = {h: (s + kh * mu) / (n + kh) for h, (s, n) in hosts.items()}
+    paths = sums(lambda k: site[k])
+    kp = weight([(s, n, above[h]) for (h, _), (s, n) in paths.items()])
+    for r in got:
+        s, n = paths[site[r.doc_id]]
+        prior = (s - p[r.doc_id] + kp * above[site[r.doc_id][0]]) / (n - 1 + kp)
+        assert abs(r.prior - prior) < 1e-9
+        odds = llr[r.doc_id] + log(prior / (1 - prior))
+        assert abs(r.quality - 1 / (1 + exp(-odds))) < 1e-9 and r.keep == (r.quality >= 0.5)
+
+
+def test_a_labelled_key_counts_once(spark, judged):
+    docs, labels, rows = judged
+    bad = next(r for r in rows if "!!" in r[1] and r[0] % 4)
+    many = docs.union(spark.createDataFrame([bad] * 3000, docs.schema))
+    again = labels.union(spark.createDataFrame([(bad[0], 0, 0)] * 500, labels.schema))
+    once, often = quality.train(docs, labels, 150), quality.train(many, again, 150)
+    assert len(once.weight) and abs(once.rate - often.rate) < 1e-12 and abs(once.weight - often.weight).max() < 1e-9
+    other = docs.union(spark.createDataFrame([(bad[0], "another text for this key", None, None, 5)], docs.schema))
+    assert quality.train(other, labels).rate == quality.train(docs, labels).rate
+
+
+def test_hosts_of_urls(spark):
+    rows = [("https://a.org/x/y",), ("a.org/x",), ("http://b.org",), ("src1",), (None,), ("",)]
+    got = quality.site_columns(spark.createDataFrame([(*r, "en") for r in rows], "source string, lang string")).collect()
+    assert [(r.host, r.path) for r in got] == [("va.org", "px"), ("va.org", "px"), ("vb.org", "len"), ("vsrc1", "len"), ("n", "len"), ("v", "len")]
+
+
 def test_sparse_sites_shrink_to_what_is_above(spark):
     ev = [("vbig", "n", 4.0)] * 90 + [("vbig", "n", -4.0)] * 10 + [("vbad", "n", -4.0)] * 100 + [("vrare", "n", -4.0)]
     rates = {r.host: r for r in quality.site_rates(spark.createDataFrame(ev, "host string, path string, llr double"), 0.5).collect()}
