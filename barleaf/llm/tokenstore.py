@@ -5,17 +5,19 @@ for each shard. A shard has
 
 * ``.ids``: the raw ids of its documents one after another, as little-endian
   unsigned 16-bit (vocabularies up to 65,536 ids) or 32-bit integers,
-* ``.idx``: a NumPy archive with the keys in file order, where each document
-  starts, and the index: a minimal perfect hash of the shard's distinct keys
-  with, by slot, a 32-bit fingerprint, the first document of the key and how
-  many documents have it.
-
-A keyed read hashes the key, compares the fingerprint and reads one slice of
-``.ids``. The first of a task reads the shard's whole ``.idx`` and ranks its bit
-arrays, which costs in proportion to the shard's documents (shards are bounded
-by ``SHARD_BYTES``); with those in memory the cost of a read depends on neither
-the shard's nor the corpus's size. The hash is the levelled bit-array construction of Limasset et al. 2017 ("Fast and scalable
-minimal perfect hashing for massive key sets").
+* ``.idx``: a header, then in fixed layout the levels of a minimal perfect hash
+  of the shard's distinct keys (512 bits and the rank before them side by side),
+  by slot a 32-bit fingerprint, how many documents have the key and the first of
+  them, and in file order where each document starts and its key.
+
+A keyed read takes the header, for each level that it goes through one block of
+bits, then one slot, the key it is compared with, the starts and one slice of
+``.ids``: a constant number of reads of constant size besides the ids
+themselves, whatever the sizes of shard and corpus. A slot whose fingerprint or
+key differs means that the store doesn't hold the key. The hash is the levelled
+bit-array construction of Limasset et al. 2017 ("Fast and scalable minimal
+perfect hashing for massive key sets"). Documents with null keys are the first
+of their shard and only counted.
 
 Files are written under the name of the task attempt and only those of the
 attempt that Spark commits get into the manifest, so lost executors and
@@ -29,14 +31,13 @@ order of their texts' hashes; an empty table gives an empty store.
 
 from __future__ import annotations
 
-import io
 import os
 import re
 import sys
 import zlib
 from array import array
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from contextlib import ExitStack, contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -57,7 +58,11 @@ CACHE_FREELY, CACHE = 400_000, 800_000
 PIECE = re.compile(r"[ \t\n\r\f\v]*(?:[!-@\[-`{-~]*[A-Za-zÀ-ÖØ-öø-ÿ]++(?=[\x00-\x7f]|\Z)|[^ \t\n\r\f\v]+)|[ \t\n\r\f\v]+")
 MANIFEST = "shard int, path string, first_key long, last_key long, n_docs long, n_ids long"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long, shard int"
-NULL_KEY = np.uint64(0x9E3779B97F4A7C15)
+MAGIC = b"TOKIDX02"
+#: Bits of a level that stand beside their rank; levels that distinct keys never need.
+BLOCK_BITS, MOST_LEVELS = 512, 200
+BLOCK = np.dtype([("rank", "<u8"), ("bits", "u1", BLOCK_BITS // 8)])
+SLOT = np.dtype([("print", "<u4"), ("run", "<u4"), ("first", "<u8")])
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -69,12 +74,17 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def hashed_keys(keys: np.ndarray, null: np.ndarray) -> np.ndarray:
-    return np.where(null, NULL_KEY, mix(keys.astype("i8").view("u8"), 1))
+def hashed(keys: np.ndarray) -> np.ndarray:
+    """Different keys have different hashes: every step of ``mix`` can be undone."""
+    return mix(keys.astype("<i8").view("u8"), 1)
+
+
+def fingerprints(hashes: np.ndarray) -> np.ndarray:
+    return (mix(hashes, 99) >> np.uint64(32)).astype("<u4")
 
 
 class PerfectHash:
-    """Distinct 64-bit keys -> 0..n-1, by levels of bit arrays; what collides in a level goes to the next one."""
+    """Distinct 64-bit hashes -> 0..n-1, by levels of bit arrays; what collides in a level goes to the next one."""
 
     def __init__(self, levels: list[np.ndarray]):
         self.levels = levels
@@ -84,69 +94,149 @@ class PerfectHash:
             base += int(bits.sum())
 
     @classmethod
-    def build(cls, keys: np.ndarray) -> PerfectHash:
-        levels, left = [], keys
+    def build(cls, hashes: np.ndarray) -> PerfectHash:
+        levels, left = [], hashes
         while len(left):
+            if len(levels) == MOST_LEVELS:
+                raise ValueError("equal hashes in the keys of a perfect hash")
             size = max(8, int(GAMMA * len(left)))
-            at = (mix(left, 2 + len(levels)) % np.uint64(size)).astype("i8")
+            at = level_place(left, len(levels), size)
             counts = np.bincount(at, minlength=size)
             levels.append(counts == 1)
             left = left[counts[at] != 1]
         return cls(levels)
 
-    def slots(self, keys: np.ndarray) -> np.ndarray:
-        """The slot of each key; -1 for keys that reach no level's bit. Other foreign keys get some slot."""
-        out, left = np.full(len(keys), -1, "i8"), np.arange(len(keys))
+    def slots(self, hashes: np.ndarray) -> np.ndarray:
+        """The slot of each; -1 for those that reach no level's bit. Other foreign hashes get some slot."""
+        out, left = np.full(len(hashes), -1, "i8"), np.arange(len(hashes))
         for level, (bits, ranks) in enumerate(zip(self.levels, self.ranks, strict=True)):
-            at = (mix(keys[left], 2 + level) % np.uint64(len(bits))).astype("i8")
+            at = level_place(hashes[left], level, len(bits))
             hit = bits[at]
             out[left[hit]] = ranks[at[hit]]
             left = left[~hit]
         return out
 
+    def blocks(self) -> list[np.ndarray]:
+        """Each level as BLOCK records."""
+        out = []
+        for bits, ranks in zip(self.levels, self.ranks, strict=True):
+            rows = np.zeros(-(-len(bits) // BLOCK_BITS), BLOCK)
+            rows["rank"] = ranks[::BLOCK_BITS]
+            padded = np.zeros(len(rows) * BLOCK_BITS, bool)
+            padded[: len(bits)] = bits
+            rows["bits"] = np.packbits(padded).reshape(len(rows), -1)
+            out.append(rows)
+        return out
+
+
+def level_place(hashes: np.ndarray, level: int, size: int) -> np.ndarray:
+    return (mix(hashes, 2 + level) % np.uint64(size)).astype("i8")
+
+
+class Layout:
+    """Where the parts of an index file are, from its header: magic, id bytes, documents, null ones, distinct keys, levels, bits of each."""
+
+    FIXED = len(MAGIC) + 5 * 8
+
+    def __init__(self, read):
+        """read(offset, size) -> bytes."""
+        head = read(0, self.FIXED + 8 * MOST_LEVELS)
+        if head[: len(MAGIC)] != MAGIC:
+            raise ValueError("not an index file")
+        self.id_bytes, self.n_docs, self.n_null, self.n_keys, levels = np.frombuffer(head, "<i8", 5, len(MAGIC)).tolist()
+        self.bits = np.frombuffer(head, "<i8", levels, self.FIXED).tolist()
+        self.level_at, at = [], self.FIXED + 8 * levels
+        for n in self.bits:
+            self.level_at.append(at)
+            at += -(-n // BLOCK_BITS) * BLOCK.itemsize
+        self.slot_at = at
+        self.start_at = at + self.n_keys * SLOT.itemsize
+        self.key_at = self.start_at + 8 * (self.n_docs + 1)
+
 
 class ShardIndex:
-    def __init__(self, keys, null, starts, levels, prints, first, run):
-        self.keys, self.null, self.starts, self.prints, self.first, self.run = keys, null, starts, prints, first, run
-        self.hash = PerfectHash(levels)
+    """Of one shard, in memory: the keys of its documents in file order, null ones first, where they start, and their perfect hash."""
+
+    def __init__(self, keys, n_null, starts, hash_, slots, id_bytes):
+        self.keys, self.n_null, self.starts, self.hash, self.slots, self.id_bytes = keys, n_null, starts, hash_, slots, id_bytes
+
+    @property
+    def null(self) -> np.ndarray:
+        return np.arange(len(self.keys)) < self.n_null
 
     @classmethod
-    def build(cls, keys: np.ndarray, null: np.ndarray, lengths: np.ndarray) -> ShardIndex:
-        """keys: in file order, equal ones side by side."""
-        hashed = hashed_keys(keys, null)
-        first = np.flatnonzero(np.concatenate([[True], hashed[1:] != hashed[:-1]])) if len(keys) else np.zeros(0, "i8")
-        run = np.diff(np.append(first, len(keys)))
-        hash_ = PerfectHash.build(hashed[first])
-        slots = hash_.slots(hashed[first])
-        by_slot = np.empty(len(first), "i8")
-        by_slot[slots] = np.arange(len(first))
-        prints = (mix(hashed[first][by_slot], 99) >> np.uint64(32)).astype("u4")
-        return cls(keys, null, np.concatenate([[0], np.cumsum(lengths)]).astype("i8"), hash_.levels, prints, first[by_slot].astype("i8"), run[by_slot].astype("i8"))
+    def build(cls, keys: np.ndarray, null: np.ndarray, lengths: np.ndarray, id_bytes: int = 4) -> ShardIndex:
+        """keys: in file order, null ones first, equal ones side by side."""
+        n_null, keys = int(null.sum()), keys.astype("<i8")
+        own = keys[n_null:]
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, "i8")
+        hashes = hashed(own[first])
+        hash_ = PerfectHash.build(hashes)
+        slots = np.zeros(len(first), SLOT)
+        at = hash_.slots(hashes)
+        slots["print"][at], slots["run"][at], slots["first"][at] = fingerprints(hashes), np.diff(np.append(first, len(own))), first + n_null
+        return cls(keys, n_null, np.concatenate([[0], np.cumsum(lengths)]).astype("<i8"), hash_, slots, id_bytes)
 
     def find(self, keys: np.ndarray, null: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The first document of each key and how many there are; -1 and 0 for keys whose fingerprint differs."""
-        hashed = hashed_keys(keys, null)
-        slots = self.hash.slots(hashed)
-        if not len(self.prints):
-            return np.full(len(keys), -1), np.zeros(len(keys), "i8")
-        found = (slots >= 0) & (self.prints[slots] == (mix(hashed, 99) >> np.uint64(32)).astype("u4"))
-        return np.where(found, self.first[slots], -1), np.where(found, self.run[slots], 0)
+        """The first document of each key and how many there are; -1 and 0 for keys that the shard doesn't hold."""
+        first, run = np.full(len(keys), -1, "i8"), np.zeros(len(keys), "i8")
+        if self.n_null:
+            first[null], run[null] = 0, self.n_null
+        if len(self.slots):
+            hashes = hashed(keys)
+            at = self.hash.slots(hashes)
+            slot = self.slots[at]
+            found = ~null & (at >= 0) & (slot["print"] == fingerprints(hashes))
+            found[found] = self.keys[slot["first"][found].astype("i8")] == keys[found]
+            first[found], run[found] = slot["first"][found], slot["run"][found]
+        return first, run
 
     def dump(self) -> bytes:
-        sizes = np.array([len(x) for x in self.hash.levels], "i8")
-        bits = np.concatenate([np.packbits(x) for x in self.hash.levels] or [np.zeros(0, "u1")])
-        np.savez(out := io.BytesIO(), keys=self.keys, null=np.packbits(self.null), starts=self.starts, sizes=sizes, bits=bits, prints=self.prints, first=self.first, run=self.run)
-        return out.getvalue()
+        head = np.array([self.id_bytes, len(self.keys), self.n_null, len(self.slots), len(self.hash.levels), *map(len, self.hash.levels)], "<i8")
+        return b"".join([MAGIC, head.tobytes(), *(x.tobytes() for x in self.hash.blocks()), self.slots.tobytes(), self.starts.tobytes(), self.keys.tobytes()])
 
     @classmethod
     def load(cls, data: bytes) -> ShardIndex:
-        z = np.load(io.BytesIO(data))
-        levels, at = [], 0
-        for n in z["sizes"]:
-            end = at + -(-int(n) // 8)
-            levels.append(np.unpackbits(z["bits"][at:end], count=int(n)).astype(bool))
-            at = end
-        return cls(z["keys"], np.unpackbits(z["null"], count=len(z["keys"])).astype(bool), z["starts"], levels, z["prints"], z["first"], z["run"])
+        at = Layout(lambda start, size: data[start : start + size])
+        levels = [np.unpackbits(np.frombuffer(data, BLOCK, -(-n // BLOCK_BITS), x)["bits"].ravel(), count=n).astype(bool) for n, x in zip(at.bits, at.level_at, strict=True)]
+        part = lambda kind, n, x: np.frombuffer(data, kind, n, x)
+        return cls(part("<i8", at.n_docs, at.key_at), at.n_null, part("<i8", at.n_docs + 1, at.start_at), PerfectHash(levels), part(SLOT, at.n_keys, at.slot_at), at.id_bytes)
+
+
+class KeyedReader:
+    """Keyed reads of a shard by ranges: ``idx`` and ``ids`` are read(offset, size) -> bytes of its two files."""
+
+    def __init__(self, idx, ids):
+        self.idx, self.ids, self.at = idx, ids, Layout(idx)
+        self.kind = np.dtype(f"<u{self.at.id_bytes}")
+
+    def find(self, key: int | None) -> tuple[int, int]:
+        """The first document of a key and how many there are; (-1, 0) if the shard doesn't hold it."""
+        if key is None:
+            return (0, self.at.n_null) if self.at.n_null else (-1, 0)
+        hash_ = hashed(np.array([key], "<i8"))
+        for level, (size, start) in enumerate(zip(self.at.bits, self.at.level_at, strict=True)):
+            place = int(level_place(hash_, level, size)[0])
+            block = np.frombuffer(self.idx(start + place // BLOCK_BITS * BLOCK.itemsize, BLOCK.itemsize), BLOCK)[0]
+            bits, inside = np.unpackbits(block["bits"]), place % BLOCK_BITS
+            if not bits[inside]:
+                continue
+            rank = int(block["rank"]) + int(bits[:inside].sum())
+            slot = np.frombuffer(self.idx(self.at.slot_at + rank * SLOT.itemsize, SLOT.itemsize), SLOT)[0]
+            first = int(slot["first"])
+            if slot["print"] != fingerprints(hash_)[0] or int(np.frombuffer(self.idx(self.at.key_at + 8 * first, 8), "<i8")[0]) != key:
+                break
+            return first, int(slot["run"])
+        return -1, 0
+
+    def documents(self, key: int | None) -> list[tuple[int, np.ndarray]]:
+        """(start, ids) of each document of a key."""
+        first, run = self.find(key)
+        if not run:
+            return []
+        starts = np.frombuffer(self.idx(self.at.start_at + 8 * first, 8 * (run + 1)), "<i8")
+        width = self.kind.itemsize
+        return [(int(a), np.frombuffer(self.ids(int(a) * width, int(b - a) * width), self.kind)) for a, b in zip(starts[:-1], starts[1:], strict=True)]
 
 
 def packed(ids: list[int]) -> bytes:
@@ -290,7 +380,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int, path: str | N
         null = np.array([k is None for k in keys])
         plain = np.array([k or 0 for k in keys], "i8")
         with where.open_output_stream(f"{inner}.idx") as f:
-            f.write(ShardIndex.build(plain, null, np.array(lengths, "i8")).dump())
+            f.write(ShardIndex.build(plain, null, np.array(lengths, "i8"), np.dtype(kind).itemsize).dump())
         row = [[task.partitionId()], [stem], [keys[0]], [keys[-1]], [len(keys)], [sum(lengths)]]
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["shard", "path", "first_key", "last_key", "n_docs", "n_ids"])
 
@@ -298,30 +388,27 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int, path: str | N
 
 
 def load(stem: str) -> tuple[ShardIndex, np.ndarray]:
+    """A whole shard."""
     where, inner = files(stem)
     with where.open_input_stream(f"{inner}.idx") as f:
         index = ShardIndex.load(f.read())
     with where.open_input_stream(f"{inner}.ids") as f:
-        data = f.read()
-    return index, np.frombuffer(data, "<u2" if len(data) == 2 * index.starts[-1] else "<u4")
+        return index, np.frombuffer(f.read(), f"<u{index.id_bytes}")
+
+
+def ranged(f):
+    def read(start: int, size: int) -> bytes:
+        f.seek(start)
+        return f.read(size)
 
+    return read
 
-def load_slices(stem: str, asked: np.ndarray, null: np.ndarray) -> tuple[ShardIndex, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Of the asked keys: the index, the asked key and the document of each hit, and its ids. Of ``.ids`` only these are read."""
+
+@contextmanager
+def keyed(stem: str) -> Iterator[KeyedReader]:
     where, inner = files(stem)
-    with where.open_input_stream(f"{inner}.idx") as f:
-        index = ShardIndex.load(f.read())
-    first, run = index.find(asked, null)
-    of = np.repeat(np.arange(len(first)), run)
-    at = first[of] + np.arange(len(of)) - np.repeat(np.cumsum(run) - run, run)
-    with where.open_input_file(f"{inner}.ids") as f:
-        kind = np.dtype("<u2" if f.size() == 2 * index.starts[-1] else "<u4")
-        spans = [(int(index.starts[i]) * kind.itemsize, int(index.starts[i + 1] - index.starts[i]) * kind.itemsize) for i in at]
-        found = []
-        for start, size in spans:
-            f.seek(start)
-            found.append(np.frombuffer(f.read(size), kind))
-    return index, of, at, found
+    with where.open_input_file(f"{inner}.idx") as idx, where.open_input_file(f"{inner}.ids") as ids:
+        yield KeyedReader(ranged(idx), ranged(ids))
 
 
 def bases(manifest: list) -> list[int]:
@@ -353,31 +440,42 @@ def read_store(spark: SparkSession, manifest: list) -> DataFrame:
 def lookup(keys: DataFrame, manifest: list) -> DataFrame:
     """The ids of the asked documents: doc_id, start, ids array<int>; nothing for keys that the store doesn't hold.
 
-    Asked keys go to the shards whose key range holds them; each shard is
-    opened once for each of its tasks.
+    Asked keys go to the shards whose key range holds them and are read there by
+    ``KeyedReader``.
     """
-    spark = keys.sparkSession
+    spark, schema = keys.sparkSession, "doc_id long, start long, ids array<int>"
+    if not manifest:
+        return spark.createDataFrame([], schema)
+    # a few numbers and a path for each 64 MB of input, sent to each executor once
     filled = [r for r in manifest if r.last_key is not None]
-    low = [-(1 << 63) if r.first_key is None else r.first_key for r in filled]
-    high = [r.last_key for r in filled]
-    nulls = [r.shard for r in manifest if r.first_key is None]
-    shards, where = [r.shard for r in filled], {r.shard: (r.path, base) for r, base in zip(manifest, bases(manifest), strict=True)}
+    route_by = spark.sparkContext.broadcast((
+        np.array([r.last_key for r in filled], "i8"), np.array([-(1 << 63) if r.first_key is None else r.first_key for r in filled], "i8"),
+        np.array([r.shard for r in filled], "i4"), [r.shard for r in manifest if r.first_key is None],
+    ))
+    where = spark.sparkContext.broadcast({r.shard: (r.path, base) for r, base in zip(manifest, bases(manifest), strict=True)})
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        high, low, shards, nulls = route_by.value
         for batch in batches:
-            own = [nulls if k is None else shards[bisect_left(high, k) : bisect_right(low, k)] for k in batch.column("doc_id").to_pylist()]
+            own = [nulls if k is None else shards[np.searchsorted(high, k, "left") : np.searchsorted(low, k, "right")].tolist() for k in batch.column("doc_id").to_pylist()]
             at = np.repeat(np.arange(len(own)), [len(x) for x in own])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at)), pa.array([x for xs in own for x in xs], pa.int32())], ["doc_id", "shard"])
 
-    def fetch(asked: pa.Table) -> pa.Table:
-        path, base = where[asked.column("shard")[0].as_py()]
-        null = asked.column("doc_id").is_null().to_numpy()
-        index, of, at, found = load_slices(path, asked.column("doc_id").fill_null(0).to_numpy(), null)
-        found = [ids.astype("i4") for ids in found]
-        return pa.table([asked.column("doc_id").take(pa.array(of)), pa.array(index.starts[at] + base), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "start", "ids"])
-
-    schema = "doc_id long, start long, ids array<int>"
-    if not manifest:
-        return spark.createDataFrame([], schema)
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with ExitStack() as held:
+            reader = now = None
+            for batch in batches:
+                out = [[], [], []]
+                for key, shard in zip(batch.column("doc_id").to_pylist(), batch.column("shard").to_pylist(), strict=True):
+                    if shard != now:
+                        held.close()
+                        path, base = where.value[shard]
+                        reader, now = held.enter_context(keyed(path)), shard
+                    for start, ids in reader.documents(key):
+                        for column, x in zip(out, (key, start + base, ids.astype("i4")), strict=True):
+                            column.append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.list_(pa.int32())), strict=True)], ["doc_id", "start", "ids"])
+
+    # dealt out by key, so that a shard which many keys are asked of is many tasks
     asked = pick(keys, doc_id="long").distinct().mapInArrow(route, "doc_id long, shard int")
-    return asked.groupBy("shard").applyInArrow(fetch, schema)
+    return asked.repartition("shard", "doc_id").sortWithinPartitions("shard").mapInArrow(fetch, schema)

@@ -76,15 +76,65 @@ def test_perfect_hash_is_minimal(n):
     assert sorted(tokenstore.PerfectHash.build(keys).slots(keys).tolist()) == list(range(n))
 
 
+#: The key whose hash a null key once shared.
+ONCE_NULL = 7641188430210629341
+
+
+def readers(index, ids=b""):
+    """A keyed reader over an index in memory, and the sizes of its reads."""
+    data, sizes = index.dump(), []
+
+    def of(data):
+        def read(start, size):
+            sizes.append(size)
+            return data[start : start + size]
+
+        return read
+
+    return tokenstore.KeyedReader(of(data), of(ids)), sizes
+
+
 def test_index_finds_keys_and_rejects_others():
-    keys = np.array([0, -5, -5, 7, 7, 7, 1 << 40], "i8")
-    null = np.array([True, *[False] * 6])
-    index = tokenstore.ShardIndex.load(tokenstore.ShardIndex.build(keys, null, np.arange(1, 8)).dump())
-    first, run = index.find(np.array([0, -5, 7, 1 << 40]), np.array([True, False, False, False]))
-    assert first.tolist() == [0, 1, 3, 6] and run.tolist() == [1, 2, 3, 1]
+    keys = np.array([0, 0, -5, -5, 7, 7, 7, 1 << 40, ONCE_NULL], "i8")
+    null = np.array([True, True, *[False] * 7])
+    index = tokenstore.ShardIndex.load(tokenstore.ShardIndex.build(keys, null, np.arange(1, 10)).dump())
+    first, run = index.find(np.array([0, 0, -5, 7, 1 << 40, ONCE_NULL]), np.array([True, *[False] * 5]))
+    assert first.tolist() == [0, -1, 2, 4, 7, 8] and run.tolist() == [2, 0, 2, 3, 1, 1]
     foreign = np.arange(100, 4100)
     assert (index.find(foreign, np.zeros(4000, bool))[0] >= 0).sum() == 0
-    assert index.starts.tolist() == [0, 1, 3, 6, 10, 15, 21, 28]
+    assert index.starts.tolist() == [0, 1, 3, 6, 10, 15, 21, 28, 36, 45]
+    one, _ = readers(index)
+    assert [one.find(k) for k in (None, 0, -5, 7, 1 << 40, ONCE_NULL, 99)] == [(0, 2), (-1, 0), (2, 2), (4, 3), (7, 1), (8, 1), (-1, 0)]
+
+
+def test_an_equal_fingerprint_is_no_hit(monkeypatch):
+    monkeypatch.setattr(tokenstore, "fingerprints", lambda hashes: np.zeros(len(hashes), "<u4"))
+    index = tokenstore.ShardIndex.build(np.arange(0, 600, 2), np.zeros(300, bool), np.ones(300, "i8"))
+    asked = np.arange(600)
+    assert (index.find(asked, np.zeros(600, bool))[0] >= 0).tolist() == (asked % 2 == 0).tolist()
+    one, _ = readers(index)
+    assert [one.find(k)[1] for k in range(40)] == [1, 0] * 20
+
+
+def test_equal_hashes_end():
+    with pytest.raises(ValueError):
+        tokenstore.PerfectHash.build(np.array([5, 5], "u8"))
+
+
+def test_a_keyed_read_costs_the_same_in_every_shard():
+    """Bytes of the index that 200 reads take, whatever the number of documents; and the same answers as in memory."""
+    cost = {}
+    for n in (1_000, 100_000):
+        keys = np.arange(n) * 3
+        index = tokenstore.ShardIndex.build(keys, np.zeros(n, bool), np.full(n, 2), 2)
+        one, sizes = readers(index, np.arange(2 * n, dtype="<u4").astype("<u2").tobytes())
+        sizes.clear()
+        for k in range(0, 600, 3):
+            ((start, ids),) = one.documents(k)
+            assert start == 2 * k // 3 and ids.tolist() == [start, start + 1]
+        cost[n] = sum(sizes), max(sizes)
+        assert one.documents(1) == []
+    assert abs(cost[100_000][0] / cost[1_000][0] - 1) < 0.3 and cost[100_000][1] == cost[1_000][1] == 72
 
 
 def test_store_rows(spark, docs, clashing, empty, rows, library, tokenizer_path):
@@ -106,51 +156,15 @@ def test_store_rows(spark, docs, clashing, empty, rows, library, tokenizer_path)
     assert tokenstore.read_store(spark, []).count() == 0
 
 
-def test_keyed_read_reads_its_slices_only(docs, tokenizer_path, monkeypatch):
-    manifest, files, read = tokenstore.write_store(docs, tokenizer_path, 2), tokenstore.files, []
-    shard = max(manifest, key=lambda r: r.n_ids)
-    index, every = tokenstore.load(shard.path)
-
-    class Counted:
-        def __init__(self, f):
-            self.f = f
-
-        def __getattr__(self, name):
-            return getattr(self.f, name)
-
-        def __enter__(self):
-            return self
-
-        def __exit__(self, *_):
-            self.f.close()
-
-        def read(self, *n):
-            data = self.f.read(*n)
-            read.append(len(data))
-            return data
-
-    class Where:
-        def __init__(self, where):
-            self.open_input_stream = lambda path: where.open_input_stream(path) if path.endswith(".idx") else Counted(where.open_input_stream(path))
-            self.open_input_file = lambda path: Counted(where.open_input_file(path))
-
-    monkeypatch.setattr(tokenstore, "files", lambda uri: (Where(files(uri)[0]), files(uri)[1]))
-    for i in range(len(index.keys)):
-        read.clear()
-        _, of, at, found = tokenstore.load_slices(shard.path, index.keys[i : i + 1], index.null[i : i + 1])
-        assert i in at and all((ids == every[index.starts[k] : index.starts[k + 1]]).all() for k, ids in zip(at, found, strict=True))
-        assert sum(read) == every.itemsize * sum(map(len, found))
-
-
 def test_lookup_by_key(spark, docs, rows, library, tokenizer_path):
     big = (1 << 53) + 1  # beyond what a double tells apart
-    docs = docs.union(spark.createDataFrame([(big, "big", None, None, 3), (big - 1, "less", None, None, 4)], docs.schema))
-    rows = [*rows, (big, "big"), (big - 1, "less")]
+    docs = docs.union(spark.createDataFrame([(big, "big", None, None, 3), (big - 1, "less", None, None, 4), (ONCE_NULL, "hashed", None, None, 6)], docs.schema))
+    rows = [*rows, (big, "big"), (big - 1, "less"), (ONCE_NULL, "hashed")]
     manifest = tokenstore.write_store(docs, tokenizer_path, 2)
-    asked = spark.createDataFrame([(3,), (7,), (7,), (999,), (-4,), (None,), (big,)], "doc_id long")
+    asked = spark.createDataFrame([(3,), (7,), (7,), (999,), (-4,), (None,), (big,), (ONCE_NULL,)], "doc_id long")
     got = tokenstore.lookup(asked, manifest).collect()
     ids = lambda t: [*library.encode(t or "", add_special_tokens=False).ids, 2]
-    want = [(r[0], ids(r[1])) for r in rows if r[0] in (3, 7, None, big)]
+    want = [(r[0], ids(r[1])) for r in rows if r[0] in (3, 7, None, big, ONCE_NULL)]
     assert same([(r.doc_id, r.ids) for r in got], want)
 
 
