@@ -5,6 +5,9 @@ BMP images into uint8 arrays of shape (height, width, channels). ``resize``
 averages over exact pixel areas, also fractional ones, from an integral image.
 ``dhash`` compares neighbours of a 9 x 8 and an 8 x 9 resize.
 
+Images without pixels, with samples of no range or above it, and broken ones are
+a ValueError for ``decode`` and nulls for ``features``.
+
 ``of_payloads`` keeps any bytes as gray images: a payload becomes the samples
 of a binary PGM of width 24, written to a table in the shared folder and
 decoded from what is read back. Defined results: a null text counts as empty
@@ -47,6 +50,8 @@ def netpbm_header(data: bytes) -> tuple[str, list[int], int]:
 def netpbm(data: bytes) -> np.ndarray:
     magic, (w, h, *rest), at = netpbm_header(data)
     most, channels = (rest or [1])[0], 3 if magic in ("P3", "P6") else 1
+    if magic not in ("P1", "P2", "P3", "P4", "P5", "P6") or not w or not h or not 0 < most < 1 << 16:
+        raise ValueError("no Netpbm image of one pixel or more")
     if magic == "P4":
         rows = np.frombuffer(data, "u1", h * (-(-w // 8)), at).reshape(h, -1)
         return (255 * (1 - np.unpackbits(rows, axis=1)[:, :w]))[..., None].astype("u1")
@@ -57,6 +62,8 @@ def netpbm(data: bytes) -> np.ndarray:
         values = np.array(data[at - 1 :].split(), "i8")[: w * h * channels]
     else:
         values = np.frombuffer(data, ">u2" if most > 255 else "u1", w * h * channels, at)
+    if values.size and int(values.max()) > most:
+        raise ValueError("a sample above the largest value")
     if most != 255:
         values = (values.astype("i8") * 255 + most // 2) // most
     return values.astype("u1").reshape(h, w, channels)
@@ -64,8 +71,8 @@ def netpbm(data: bytes) -> np.ndarray:
 
 def bmp(data: bytes) -> np.ndarray:
     at, header, w, h, _, depth, packed = struct.unpack_from("<I I i i H H I", data, 10)
-    if packed not in (0, 3) or depth not in (8, 24, 32):
-        raise ValueError("only uncompressed BMP of 8, 24 or 32 bits")
+    if packed not in (0, 3) or depth not in (8, 24, 32) or w < 1 or not h:
+        raise ValueError("only uncompressed BMP of 8, 24 or 32 bits and one pixel or more")
     stride, rows = -(-w * depth // 32) * 4, abs(h)
     raster = np.frombuffer(data, "u1", stride * rows, at).reshape(rows, stride)[:, : w * depth // 8]
     raster = raster[::-1] if h > 0 else raster
@@ -77,7 +84,10 @@ def bmp(data: bytes) -> np.ndarray:
 
 
 def decode(data: bytes) -> np.ndarray:
-    return bmp(data) if data[:2] == b"BM" else netpbm(data)
+    try:
+        return bmp(data) if data[:2] == b"BM" else netpbm(data)
+    except (IndexError, UnicodeDecodeError, OverflowError, struct.error) as e:
+        raise ValueError("broken image") from e
 
 
 def integral(image: np.ndarray) -> np.ndarray:
@@ -133,8 +143,8 @@ def features(media: DataFrame) -> DataFrame:
             tiles, hashes = [], []
             for data in batch.column("media"):
                 try:
-                    tile, code = tile_and_hash(decode(data.as_py()))
-                except (ValueError, IndexError, TypeError, struct.error):
+                    tile, code = tile_and_hash(decode(data.as_py())) if data.is_valid else (None, None)
+                except ValueError:
                     tile = code = None
                 tiles.append(tile)
                 hashes.append(code)

@@ -241,3 +241,19 @@ def test_features_of_other_images(spark):
     got = media.features(spark.createDataFrame([(1, bytearray(flat)), (2, bytearray(b"junk")), (3, None)], "id int, media binary")).collect()
     by = {r.id: r for r in got}
     assert by[1].feature == "0" * 32 and by[2].feature is None and by[3].tile_npy is None
+
+
+def test_broken_and_empty_images(spark):
+    import struct
+
+    head = lambda w, h, depth=24: b"BM" + struct.pack("<IHHI", 54, 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, w, h, 1, depth, 0, 0, 0, 0, 0, 0)
+    broken = [
+        b"", b"P", b"P5", b"P5 0 0 255\n", b"P5 0 3 255\n", b"P5 2 2 0\n\0\0\0\0", b"P5 2 2 255\n\0", b"P5 2 2 99999\n" + b"\0" * 8, b"P2 2 1 255\n1 x", b"P2 1 1 7\n9", b"P1 0 0\n", b"P4 0 1\n",
+        b"P9 1 1 255\n\0", b"P1 2 2\n1", b"\xff\xfe junk", b"BM", b"BM" + b"\0" * 60, head(0, 0), head(2, 2), head(-3, 2), head(1, 1, 16), head(1 << 30, 1 << 30), b"P5 99999999999999999999 9 255\n",
+    ]
+    for data in broken:
+        with pytest.raises(ValueError):
+            media.decode(data)
+    got = media.features(spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(broken)], "id int, media binary")).collect()
+    assert len(got) == len(broken) and all(r.tile_npy is None and r.feature is None for r in got)
+    assert media.decode(b"P5 1 1 3\n\x03").tolist() == [[[255]]]
