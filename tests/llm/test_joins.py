@@ -19,12 +19,11 @@ from .conftest import same
 
 def brute_top(rows, k=5):
     valid = [(i, tuple(math.floor(256 * x) for x in v)) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
-    valid = list(dict.fromkeys(valid))
     out = []
-    for i, q in valid:
+    for own, (i, q) in enumerate(valid):
         if i % 50 == 0:
             # beyond 64 bits scores are cut, before ranking
-            scored = sorted((-max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(q, v)))), j) for j, v in valid if j != i and len(v) == len(q))
+            scored = sorted((-max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(q, v)))), j) for at, (j, v) in enumerate(valid) if at != own and len(v) == len(q))
             out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scored[:k])]
     return out
 
@@ -42,15 +41,26 @@ def test_top_k_against_brute_force(spark, clusters, monkeypatch):
     assert same(knn.top_k(table).collect(), brute_top(rows))
 
 
-def test_bounds_leave_out_far_cells(spark):
+def sent_rows(rows, pivots, sizes):
+    """How many vectors go to query groups, and in how many groups the queries are."""
+    dealt = knn.dealt(rows, pivots, sizes)
+    size, groups = knn.plan(dealt, pivots, sizes, 5)
+    return knn.sent(dealt, groups, 1).count(), sizes[size]
+
+
+def test_grouping_follows_what_the_bounds_leave_out(spark):
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(5, 6)) * 50
     rows = [(i, [float(x) for x in centres[i % 5] + 0.1 * rng.normal(size=6)]) for i in range(500)]
     base = knn.vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
-    pivots = {6: np.floor(256 * centres)}
-    dealt = knn.dealt(base, pivots, 5)
-    sent = knn.sent(dealt, knn.plan(dealt, pivots, 5), 1).count()
-    assert 0 < sent < 500 * 5
+    sent, groups = sent_rows(base, {6: np.floor(256 * centres)}, [1, 5])
+    # five far clusters: each group gets a fifth of the vectors or so
+    assert groups == 5 and 0 < sent < 500 * 2
+    rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(500)]
+    base = knn.vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    sent, groups = sent_rows(base, {6: np.array([r.q for r in base.limit(5).collect()], "f8")}, [1, 5])
+    # nothing can be left out: every vector goes once
+    assert groups == 1 and sent == 500
 
 
 def test_top_k_rows(spark):
