@@ -50,7 +50,7 @@ def sent_rows(rows, pivots, sizes):
 
 def test_grouping_follows_what_the_bounds_leave_out(spark):
     rng = np.random.default_rng(5)
-    centres = rng.normal(size=(5, 6)) * 50
+    centres = np.eye(5, 6) * 50
     rows = [(i, [float(x) for x in centres[i // 7 % 5] + 0.1 * rng.normal(size=6)]) for i in range(500)]
     base = knn.vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
     sent, groups = sent_rows(base, {6: np.floor(256 * centres)}, [1, 5])
