@@ -1,4 +1,8 @@
-"""Connected components by alternating large-star and small-star (Kiveris et al. 2014), all in tables."""
+"""Connected components by alternating large-star and small-star (Kiveris et al. 2014), all in tables.
+
+The smallest neighbours are written before they are joined, so that adaptive
+execution can split the pairs of a node that a large part of all pairs has.
+"""
 
 from __future__ import annotations
 
@@ -14,12 +18,14 @@ def _star(pairs: DataFrame, large: bool) -> DataFrame:
         pairs = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = pairs.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
+    least = materialize(pairs.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low")), "least")
     if large:
         out = pairs.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("low").alias("v"))
     else:
         out = pairs.join(least, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).union(least)
-    return out.where("u <> v").distinct()
+    out = materialize(out.where("u <> v").distinct(), "stars")
+    drop_path(pairs.sparkSession, least.scratch_path)
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -27,11 +33,15 @@ def components(links: DataFrame) -> DataFrame:
     spark = links.sparkSession
     now, mark = materialize(links.select("u", "v").where("u <> v").distinct(), "links"), None
     while True:
-        after = materialize(_star(_star(now, True), False), "stars")
+        half = _star(now, True)
         drop_path(spark, now.scratch_path)
+        after = _star(half, False)
+        drop_path(spark, half.scratch_path)
         # as many pairs with the same sum of hashes: nothing has moved
         state = tuple(after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         now = after
         if state == mark:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            out = now.toDF("node", "root")
+            out.scratch_path = now.scratch_path
+            return out
         mark = state

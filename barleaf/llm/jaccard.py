@@ -4,11 +4,12 @@ The document by shingle incidence matrix is never multiplied whole:
 
 1. *Column blocks.* Each document's shingle hashes go to column blocks; a row
    that is shuffled is a slice of the matrix (many documents by one block) as
-   packed arrays. Within a block one sort gives every column's count. Columns
-   of one document can't contribute to any product and end there. Columns of a
-   hundredth of all documents or more are found before, from counts of each
-   slice; they count as most frequent and go straight to their documents, so no
-   block grows with one column.
+   packed arrays. A task takes the slices of a block as they come; entries of a
+   column that reaches ``LARGE`` go on at once, so that what it holds is bounded
+   by the block's other columns, each below ``LARGE``. Columns of one document
+   can't contribute to any product and end there. Columns of a hundredth of all
+   documents or more are found before, from counts of each slice, and go
+   straight to their documents, so that no task gets all of them.
 2. *Row bounds.* The remaining entries return to their documents. To reach the
    threshold t with any other document, a document of n shingles must share one
    of its n - ceil(t n) + 1 rarest columns. If its unshared columns alone are
@@ -19,12 +20,22 @@ The document by shingle incidence matrix is never multiplied whole:
    over whole rows. The place of a column among a document's columns, rarest
    first, bounds what the two can share from there on; of a passing pair, their
    first common column keeps that bound. Pairs that are already connected aren't
-   formed: the first round links each document to one hub of the column, the
-   document whose columns are the most frequent, and merges what passes; the
-   last round forms every pair still apart, so no link between different sets
-   is lost, and a group of copies costs rows in proportion to its size.
+   formed: hub rounds link each document to one hub of the column, the document
+   whose columns are the most frequent, and merge what passes; then every pair
+   still apart is formed, in passes of bounded size, so no link between
+   different sets is lost, and a group of copies costs rows in proportion to its
+   size.
 4. *Components* over the links, by alternating stars.
 
+Joins on a column or a root are between written tables, so that adaptive
+execution can split the rows of a frequent one; aggregates on them combine on the
+map side.
+
+Columns are told apart by the block and 48 bits of the hash, that is by 55 bits
+for half a GB and by 64 from 256 GB on. Two columns that share all of them would
+count as one; that changes an overlap by one in about one of 2^16 runs of a GB
+for a given pair of texts, and never takes a link away.
+
 Defined results: null or empty texts and texts of white space have an empty
 set, size 0, and are linked with nothing; repeated rows are documents of their
 own with equal sets; null keys take part and are ignored when the smallest key
@@ -35,22 +46,29 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barleaf.llm.common import materialize, pick, pieces_for
+from barleaf.llm.common import drop_path, materialize, pick, pieces_for
 from barleaf.llm.graph import components
 from barleaf.llm.shingles import shingle_sets
 from barleaf.llm.tokenstore import mix
 
 #: Links need PERCENT * union <= 100 * intersection.
 PERCENT = 75
-#: Input bytes that a column block is made of, and characters taken into one slice.
-BLOCK_BYTES, SLICE_CHARS = 4 << 20, 2 << 20
-#: Pairs compared by place and size in the last round, for each entry of a column that still has two groups; above that, more hub rounds go first, HUB_ROUNDS at most.
+#: Input bytes that a block of columns or a part of the documents is made of; the most blocks, as a power of two, and parts.
+#: With few entries in each row that is shuffled, the rows themselves would cost more than the entries.
+BLOCK_BYTES, MOST_BITS, MOST_PARTS = 4 << 20, 18, 1 << 22
+#: Characters taken into one slice, for up to so many blocks; in proportion beyond that, up to the last number.
+SLICE_CHARS, SLICE_BLOCKS, MOST_SLICE = 2 << 20, 1 << 15, 16 << 20
+#: Entries that a block's task holds before it looks for large columns, and sorts at once; entries of a large column.
+HELD, SORTED, LARGE = 8 << 20, 4 << 20, 1 << 16
+#: Pairs compared by place and size in one pass, for each entry of a column that still has two groups; above that, more hub rounds go first, HUB_ROUNDS at most.
 PAIRS_EACH, HUB_ROUNDS = 64, 6
 
 ENTRIES = "block int, kind int, runs binary, sizes binary, counts binary, low binary, high binary, codes binary"
@@ -86,8 +104,19 @@ def by_group(groups: np.ndarray, runs: np.ndarray) -> Iterator[tuple[int, np.nda
         yield int(g[cut[a]]), order[cut[a] : cut[b - 1] + length[b - 1]], r[cut[a:b]], length[a:b]
 
 
-def texts_by_slice(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list, list]]:
-    """(row numbers, keys, texts) of about SLICE_CHARS characters, whatever the batches are."""
+def part_of(rid: np.ndarray, parts: int) -> np.ndarray:
+    """The part that a document belongs to."""
+    return (mix(rid.view("u8"), 5) % np.uint64(parts)).astype("i4")
+
+
+def column_ids(block: np.ndarray | int, low: np.ndarray, bits: int) -> np.ndarray:
+    """Columns by their block, the first ``bits`` of the hash, and its low 48 bits: the whole hash from 16 bits on."""
+    shift = 64 - max(bits, 16)
+    return (low & np.uint64((1 << shift) - 1)) | (np.asarray(block).astype("u8") << np.uint64(shift))
+
+
+def texts_by_slice(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list[int], list, list]]:
+    """(row numbers, keys, texts) of about so many characters, whatever the batches are."""
     rows, keys, texts, chars = [], [], [], 0
     for batch in batches:
         for r, k, t in zip(batch.column("rid").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
@@ -95,7 +124,7 @@ def texts_by_slice(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int
             keys.append(k)
             texts.append(t.as_py())
             chars += len(texts[-1] or "")
-            if chars >= SLICE_CHARS:
+            if chars >= most:
                 yield rows, keys, texts
                 rows, keys, texts, chars = [], [], [], 0
     if rows:
@@ -112,7 +141,7 @@ def frequent_columns(numbered: DataFrame) -> np.ndarray:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, texts in texts_by_slice(batches):
+        for _, _, texts in texts_by_slice(batches, SLICE_CHARS):
             sets = shingle_sets(texts)
             found, n = np.unique(np.concatenate(sets), return_counts=True)
             often = (n >= len(sets) * FREQUENT_SHARE / 2) & (n > 1)
@@ -122,63 +151,113 @@ def frequent_columns(numbered: DataFrame) -> np.ndarray:
     counts = materialize(counts, "counts")
     total = counts.where("h is null").first()
     found = counts.where((F.col("h").isNotNull()) & (F.col("n") >= (total.n if total else 0) * FREQUENT_SHARE / 2) & (F.col("n") >= LEAST_FREQUENT)).select("h").toArrow()
+    drop_path(numbered.sparkSession, counts.scratch_path)
     return np.sort(found.column("h").to_numpy().view("u8"))
 
 
-def slices(numbered: DataFrame, blocks: int, frequent: np.ndarray) -> DataFrame:
-    """Step 1, map side: ENTRIES rows. Documents go by a row number, which is kept with their key and size."""
+def slices(numbered: DataFrame, bits: int, parts: int, frequent: np.ndarray) -> DataFrame:
+    """Step 1, map side: ENTRIES rows for 2 ** bits blocks. Documents go by a row number, which is kept with their key and size."""
     hot = numbered.sparkSession.sparkContext.broadcast(frequent)  # bounded: see frequent_columns
+    most = min(MOST_SLICE, SLICE_CHARS * max(1, (1 << bits) // SLICE_BLOCKS))
 
     def emit(rows: list[int], keys: list, texts: list) -> pa.Table:
         sets = shingle_sets(texts)
         n = np.array([len(s) for s in sets], "i4")
         rid = np.array(rows, "i8")
-        null = np.array([k is None for k in keys])
-        part = lambda of: (mix(of.view("u8"), 5) % np.uint64(blocks)).astype("i4")
-        out = [(-1 - int(part(rid[:1])[0]), SIZES, rid.tobytes(), n.tobytes(), np.packbits(null).tobytes(), np.array([k or 0 for k in keys], "i8").tobytes(), None, None)]
+        null, part = np.array([k is None for k in keys]), part_of(rid, parts)
+        out = [(-1 - int(part[0]), SIZES, rid.tobytes(), n.tobytes(), np.packbits(null).tobytes(), np.array([k or 0 for k in keys], "i8").tobytes(), None, None)]
         every, of = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype="i4"), n)
-        home = ((every >> np.uint64(40)) * np.uint64(blocks) >> np.uint64(24)).astype("i4")
+        home = (every >> np.uint64(64 - bits)).astype("i4") if bits else np.zeros(len(every), "i4")
         often = hot.value[np.minimum(np.searchsorted(hot.value, every), len(hot.value) - 1)] == every if len(hot.value) else np.zeros(len(every), bool)
         rest = np.flatnonzero(~often)
         for b, at, runs, counts in by_group(home[rest], of[rest]):
             own = every[rest[at]] & LOW48
             out.append((b, COLUMNS, rid[runs].tobytes(), n[runs].tobytes(), counts.astype("i4").tobytes(), own.astype("u4").tobytes(), (own >> np.uint64(32)).astype("u2").tobytes(), None))
         top = np.flatnonzero(often)
-        for b, at, runs, counts in by_group(part(rid)[of[top]], of[top]):
-            ids = (every[top[at]] & LOW48) | (home[top[at]].astype("u8") << np.uint64(48))
+        for b, at, runs, counts in by_group(part[of[top]], of[top]):
+            ids = column_ids(home[top[at]], every[top[at]] & LOW48, bits)
             out.append((-1 - b, FREQUENT, rid[runs].tobytes(), n[runs].tobytes(), counts.astype("i4").tobytes(), ids.tobytes(), None, np.full(len(at), TOP_CODE, "u1").tobytes()))
         return table(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in texts_by_slice(batches):
+        for part in texts_by_slice(batches, most):
             yield from emit(*part).to_batches()
 
     return numbered.mapInArrow(run, ENTRIES)
 
 
-def shared_columns(entries: DataFrame, blocks: int) -> DataFrame:
+class ColumnBlock:
+    """The entries of one block as they come. What is settled goes to the documents' parts: entries of large columns as soon as they are found, at the end those of all columns of two or more documents."""
+
+    def __init__(self, block: int, bits: int, parts: int):
+        self.block, self.bits, self.parts = block, bits, parts
+        self.large, self.room = np.zeros(0, "u8"), HELD
+        self.held: list[tuple[np.ndarray, ...]] = []  # run, size, number of entries; columns
+        self.entries = 0
+
+    def add(self, row: dict) -> Iterator[pa.Table]:
+        keys = np.frombuffer(row["low"], "u4").astype("u8") | np.frombuffer(row["high"], "u2").astype("u8") << np.uint64(32)
+        self.held.append((np.frombuffer(row["runs"], "i8"), np.frombuffer(row["sizes"], "i4"), np.frombuffer(row["counts"], "i4"), keys))
+        self.entries += len(keys)
+        if self.entries >= self.room:
+            yield from self.settle(False)
+
+    def settle(self, end: bool) -> Iterator[pa.Table]:
+        runs, sizes, counts, keys = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        self.held = []
+        run_of, stays = np.repeat(np.arange(len(runs), dtype="i4"), counts), np.zeros(len(keys), bool)
+        ranges = -(-len(keys) // SORTED)
+        place = mix(keys, 21) % np.uint64(ranges) if ranges > 1 else None
+        for i in range(ranges):
+            at = np.flatnonzero(place == i) if ranges > 1 else np.arange(len(keys))
+            at = at[np.argsort(keys[at])]
+            own = keys[at]
+            new = np.concatenate([[True], own[1:] != own[:-1]])
+            column = np.cumsum(new) - 1
+            count = np.bincount(column)
+            large = (count >= LARGE) | np.isin(own[new], self.large)
+            self.large = np.union1d(self.large, own[new][large])
+            df = np.where(large, LARGE, np.minimum(count, LARGE))[column]
+            out = df >= (2 if end else LARGE)
+            stays[at[~out]] = not end
+            at, df = at[out], df[out]
+            home = part_of(runs, self.parts)[run_of[at]]
+            ids, code = column_ids(self.block, keys[at], self.bits), np.minimum(TOP_CODE - 1, 8 * np.log2(df)).astype("u1")
+            rows = [(b, COLUMNS, runs[r].tobytes(), sizes[r].tobytes(), n.astype("i4").tobytes(), ids[e].tobytes(), None, code[e].tobytes()) for b, e, r, n in by_group(home, run_of[at])]
+            if rows:
+                yield table(rows)
+        self.entries = int(stays.sum())
+        if self.entries:
+            left = np.bincount(run_of[stays], minlength=len(runs)).astype("i4")
+            some = left > 0
+            self.held = [(runs[some], sizes[some], left[some], keys[stays])]
+        self.room = max(HELD, 2 * self.entries)
+
+
+def shared_columns(entries: DataFrame, bits: int, parts: int) -> DataFrame:
     """Step 1, reduce side: entries of columns of two or more documents, dealt by document; sizes pass through."""
 
-    def run(block: pa.Table) -> pa.Table:
-        if block.column("block")[0].as_py() < 0:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = None
+        for batch in batches:
             # what is for documents passes through, to the documents' own part
-            part = pa.array([-1 - b for b in block.column("block").to_pylist()], pa.int32())
-            return block.select(FIELDS).set_column(0, "block", part)
-        runs, sizes, counts = joined(block.column("runs"), "i8"), joined(block.column("sizes"), "i4"), joined(block.column("counts"), "i4")
-        keys = joined(block.column("low"), "u4").astype("u8") | joined(block.column("high"), "u2").astype("u8") << np.uint64(32)
-        order = np.argsort(keys)
-        new = np.concatenate([[True], keys[order][1:] != keys[order][:-1]])
-        column = np.cumsum(new) - 1
-        df = np.bincount(column)[column]
-        keep = df >= 2
-        at = order[keep]
-        code = np.minimum(TOP_CODE - 1, 8 * np.log2(df[keep])).astype("u1")
-        ids = keys[at] | (np.uint64(block.column("block")[0].as_py()) << np.uint64(48))
-        run_of = np.repeat(np.arange(len(runs)), counts)[at]
-        home = (mix(runs.view("u8"), 5) % np.uint64(blocks)).astype("i4")[run_of]
-        return table([(b, COLUMNS, runs[r].tobytes(), sizes[r].tobytes(), n.astype("i4").tobytes(), ids[e].tobytes(), None, code[e].tobytes()) for b, e, r, n in by_group(home, run_of)])
-
-    return entries.groupBy("block").applyInArrow(run, ENTRIES)
+            through = batch.filter(pc.less(batch.column("block"), 0))
+            if len(through):
+                part = pa.array(-1 - through.column("block").to_numpy())
+                yield through.select(FIELDS).set_column(0, "block", part)
+            for row in batch.filter(pc.greater_equal(batch.column("block"), 0)).to_pylist():
+                if now is not None and now.block != row["block"]:
+                    for t in now.settle(True) if now.held else ():
+                        yield from t.to_batches()
+                    now = None
+                now = now or ColumnBlock(row["block"], bits, parts)
+                for t in now.add(row):
+                    yield from t.to_batches()
+        if now is not None and now.held:
+            for t in now.settle(True):
+                yield from t.to_batches()
+
+    return entries.repartition("block").sortWithinPartitions("block").mapInArrow(run, ENTRIES)
 
 
 def sizes_of(entries: DataFrame) -> DataFrame:
@@ -234,9 +313,11 @@ def allowed(percent: int) -> Column:
 def posted(rows: DataFrame, percent: int) -> DataFrame:
     """h, rid, n, centre, r: the rarest columns of each row that another row may share, with what is left from there on."""
     single = rows.select("rid", "n", "unshared", "centre", F.posexplode("rarest").alias("at", "h")).select("h", "rid", "n", "centre", (F.col("n") - F.col("unshared") - F.col("at")).alias("r"))
-    often = single.groupBy("h").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1").select("h", "least")
+    often = materialize(single.groupBy("h").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1").select("h", "least"), "often")
     other = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))
-    return single.join(often, "h").where((100 + percent) * F.col("r") >= percent * (F.col("n") + other)).drop("least")
+    posts = materialize(single.join(often, "h").where((100 + percent) * F.col("r") >= percent * (F.col("n") + other)).drop("least"), "posts")
+    drop_path(rows.sparkSession, often.scratch_path)
+    return posts
 
 
 def passing(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
@@ -249,51 +330,110 @@ def passing(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
 
 def links(rows: DataFrame, percent: int) -> DataFrame:
     """Step 3: links (u, v) that connect all rows (of distinct sets) which any chain of passing pairs connects."""
-    spark = rows.sparkSession
-    posts = materialize(posted(rows, percent), "posts")
-    found, tested, roots = None, None, None
+    spark, found, tested, scratch, roots = rows.sparkSession, [], [], [], None
+    none = spark.createDataFrame([], "u long, v long")
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        scratch.append(out := materialize(df, name))
+        return out
+
+    def every(tables: list[DataFrame]) -> DataFrame:
+        return reduce(DataFrame.union, tables, none)
+
+    def test(meet: DataFrame) -> None:
+        """Compare the new pairs (rid, rid1) over whole rows."""
+        pairs = meet.select(F.least("rid", "rid1").alias("u"), F.greatest("rid", "rid1").alias("v")).distinct()
+        pairs = keep(pairs.join(every(tested), ["u", "v"], "left_anti") if tested else pairs, "pairs")
+        found.append(materialize(passing(pairs, rows, percent), "links"))
+        tested.append(pairs)
+
+    posts = posted(rows, percent)
+    scratch.append(posts)
     for turn in range(HUB_ROUNDS + 1):
         now = posts.withColumn("c", F.col("rid")) if roots is None else posts.join(roots, posts.rid == roots.node, "left").withColumn("c", F.coalesce("root", "rid")).drop("node", "root")
         groups = now.groupBy("h", "c").agg(F.count("*").alias("k"))
-        main = groups.groupBy("h").agg(F.max(F.struct("k", "c")).alias("main"), F.sum("k").alias("docs"), F.count("*").alias("parts")).where("parts > 1").select("h", "docs", F.col("main.c").alias("main"), (F.col("docs") - F.col("main.k")).alias("minor"))
+        main = groups.groupBy("h").agg(F.max(F.struct("k", "c")).alias("main"), F.sum("k").alias("docs"), F.count("*").alias("parts")).where("parts > 1")
+        main = keep(main.select("h", "docs", F.col("main.c").alias("main"), (F.col("docs") - F.col("main.k")).alias("minor")), "main")
         cost, entries = main.agg(F.coalesce(F.sum(F.col("minor") * F.col("docs")), F.lit(0)), F.coalesce(F.sum("docs"), F.lit(0))).first()
         if not cost:
             break
-        last = turn == HUB_ROUNDS or (turn > 0 and cost <= PAIRS_EACH * max(entries, 10_000))
-        open_ = now.join(main.select("h", "main"), "h")
-        if last:
+        each = PAIRS_EACH * max(entries, 10_000)
+        open_ = keep(now.join(main.select("h", "main"), "h"), "open")
+        if turn == HUB_ROUNDS or (turn > 0 and cost <= each):
             minor = open_.where("c <> main").select("h", *(F.col(x).alias(f"{x}1") for x in ("rid", "n", "r", "c")))
-            meet = minor.join(open_, "h").where((F.col("c") != F.col("c1")) & ((F.col("c") == F.col("main")) | (F.col("rid") < F.col("rid1"))) & allowed(percent))
-        else:
-            # later hubs are from outside the main component
-            rank = F.struct(F.when((F.col("c") == F.col("main")) & F.lit(turn > 0), 0).otherwise(1), "centre", "rid", "n", "r", "c")
-            hubs = open_.groupBy("h").agg(F.max(rank).alias("hub")).select("h", *(F.col(f"hub.{x}").alias(f"{x}1") for x in ("rid", "n", "r", "c")))
-            meet = open_.join(hubs, "h").where((F.col("c") != F.col("c1")) & allowed(percent))
-        pairs = meet.select(F.least("rid", "rid1").alias("u"), F.greatest("rid", "rid1").alias("v")).distinct()
-        pairs = materialize(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"), "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        new = materialize(passing(pairs, rows, percent), "links")
-        found = new if found is None else found.union(new)
-        if last:
+            passes = -(-cost // max(1, each))
+            for i in range(passes):
+                mine = minor.where(F.pmod(F.xxhash64("rid1"), F.lit(passes)) == i) if passes > 1 else minor
+                test(mine.join(open_, "h").where((F.col("c") != F.col("c1")) & ((F.col("c") == F.col("main")) | (F.col("rid") < F.col("rid1"))) & allowed(percent)))
+                # no pair comes in two of these passes
+                drop_path(spark, tested.pop().scratch_path)
+                scratch.pop()
             break
-        roots = components(found)
-    return found if found is not None else spark.createDataFrame([], "u long, v long")
+        # later hubs are from outside the main component
+        rank = F.struct(F.when((F.col("c") == F.col("main")) & F.lit(turn > 0), 0).otherwise(1), "centre", "rid", "n", "r", "c")
+        hubs = keep(open_.groupBy("h").agg(F.max(rank).alias("hub")).select("h", *(F.col(f"hub.{x}").alias(f"{x}1") for x in ("rid", "n", "r", "c"))), "hubs")
+        test(open_.join(hubs, "h").where((F.col("c") != F.col("c1")) & allowed(percent)))
+        roots = components(every(found))
+        scratch.append(roots)
+    for table_ in scratch:
+        drop_path(spark, table_.scratch_path)
+    return every(found)
+
 
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, row: str | None = None) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id, row (a number of its own), and first: whether no other document of its component has a smaller (doc_id, row), null keys last.
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, and row (a number of its own)."""
-    blocks = pieces_for(docs, BLOCK_BYTES)
-    numbered = pick(docs, doc_id="long", text="string").select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
-    entries = materialize(shared_columns(slices(numbered, blocks, frequent_columns(numbered)), blocks), "columns")
-    sizes = sizes_of(entries)
+    row: a column with such numbers; without it documents are numbered here.
+    """
+    spark, pieces = docs.sparkSession, pieces_for(docs, BLOCK_BYTES)
+    bits, parts = min(MOST_BITS, max(0, pieces - 1).bit_length()), min(MOST_PARTS, pieces)
+    number = F.monotonically_increasing_id() if row is None else F.col(row)
+    numbered = pick(docs, doc_id="long", text="string", **({row: "long"} if row else {})).select(number.alias("rid"), "doc_id", "text")
+    entries = materialize(shared_columns(slices(numbered, bits, parts, frequent_columns(numbered)), bits, parts), "columns")
+    sizes = materialize(sizes_of(entries), "documents")
     rows = materialize(candidates(entries, percent), "rows")
+    drop_path(spark, entries.scratch_path)
     # documents of one set: the smallest row number stands for all
     same = rows.where("unshared = 0").select("rid", "n", "digest")
-    first = same.groupBy("digest", "n").agg(F.min("rid").alias("first"), F.count("*").alias("k")).where("k > 1")
+    first = materialize(same.groupBy("digest", "n").agg(F.min("rid").alias("first"), F.count("*").alias("k")).where("k > 1"), "sets")
     copies = materialize(same.join(first, ["digest", "n"]).where("rid <> first").select(F.col("rid").alias("u"), F.col("first").alias("v")), "copies")
-    distinct = rows.join(copies.select(F.col("u").alias("rid")), "rid", "left_anti")
+    distinct = materialize(rows.join(copies.select(F.col("u").alias("rid")), "rid", "left_anti"), "distinct")
+    drop_path(spark, rows.scratch_path)
     roots = components(links(distinct, percent).union(copies))
+    drop_path(spark, distinct.scratch_path)
+    # only linked documents meet their components: all others would share the key null
     grouped = roots.union(roots.select("root", "root").distinct()).toDF("rid", "root")
-    named = sizes.join(grouped, "rid", "left")
-    least = named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return named.join(least, "root", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), F.col("rid").alias("row"))
+    linked = materialize(grouped.join(sizes, "rid").select("rid", "root", "doc_id"), "linked")
+    least = materialize(linked.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("least")), "least")
+    named = linked.join(least, "root").select("rid", F.col("least.doc_id").alias("component"), (F.col("least.rid") == F.col("rid")).alias("head"))
+    out = sizes.join(named, "rid", "left")
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("head").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), F.col("rid").alias("row"), F.coalesce("head", F.lit(True)).alias("first"))
+
+
+#: The same by SQL: shingles as strings, all pairs that share one, and the closure of their links.
+ORACLE = f"""
+with recursive w as (
+  select row_number() over () as r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words
+  from documents
+), s as (
+  select r, doc_id,
+         case when len(words) >= 5 then list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')))
+              when len(words) > 0 then [array_to_string(words, ' ')] else [] end as shingles
+  from w
+), e as (
+  select r, len(shingles) as n, unnest(shingles) as h from s
+), p as (
+  select a.r as u, b.r as v from e a join e b on a.h = b.h and a.r < b.r and {PERCENT} * greatest(a.n, b.n) <= 100 * least(a.n, b.n)
+  group by a.r, b.r, a.n, b.n having 100 * count(*) >= {PERCENT} * (a.n + b.n - count(*))
+), l as (
+  select u, v from p union all select v, u from p
+), reach as (
+  select r, r as x from s
+  union
+  select reach.r, l.v from reach join l on reach.x = l.u
+)
+select a.doc_id, cast(len(a.shingles) as bigint) as n_shingles, min(b.doc_id) as component_id
+from s a join reach on a.r = reach.r join s b on b.r = reach.x
+group by a.r, a.doc_id, len(a.shingles)
+"""

@@ -54,7 +54,7 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.near_duplicates(documents(spark, sf_dir)).drop("row")
+    return jaccard.near_duplicates(documents(spark, sf_dir)).drop("row", "first")
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,4 +66,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_voronoi_top_k": knn.ORACLE}
+    return {"op6_voronoi_top_k": knn.ORACLE, "op9_ngram_jaccard_join": jaccard.ORACLE}

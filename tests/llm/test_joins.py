@@ -122,7 +122,7 @@ def test_components_against_brute_force(spark, words, seed):
         if i % 3 == 0:
             text = text + passage
         rows.append((i * 7 % 260, " ".join(text)))
-    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).drop("row").collect()
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).drop("row", "first").collect()
     assert same(got, brute_components(rows))
 
 
@@ -133,10 +133,14 @@ def test_a_large_group_of_near_copies(spark, words, monkeypatch):
     rows = [(i, " ".join(perturbed(rng, words, base, rng.choice([0.01, 0.03, 0.06])))) for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute_components(rows)
-    assert same(jaccard.near_duplicates(docs).drop("row").collect(), want)
+    assert same(jaccard.near_duplicates(docs).drop("row", "first").collect(), want)
     monkeypatch.setattr(jaccard, "PAIRS_EACH", -1)
     monkeypatch.setattr(jaccard, "HUB_ROUNDS", 2)
-    assert same(jaccard.near_duplicates(docs).drop("row").collect(), want)
+    assert same(jaccard.near_duplicates(docs).drop("row", "first").collect(), want)
+    # no hub round, and all pairs in several passes
+    monkeypatch.setattr(jaccard, "PAIRS_EACH", 20)
+    monkeypatch.setattr(jaccard, "HUB_ROUNDS", 0)
+    assert same(jaccard.near_duplicates(docs).drop("row", "first").collect(), want)
 
 
 def test_frequent_columns_are_set_apart(spark, words, monkeypatch):
@@ -151,13 +155,58 @@ def test_frequent_columns_are_set_apart(spark, words, monkeypatch):
     found = jaccard.frequent_columns(numbered)
     counts = Counter(x for _, t in rows for x in set(shingles.shingle_sets([t])[0].tolist()))
     assert {k for k, n in counts.items() if n >= 0.2 * len(rows)} <= set(found.tolist()) and len(found) < len(counts)
-    assert same(jaccard.near_duplicates(docs).drop("row").collect(), brute_components(rows))
+    assert same(jaccard.near_duplicates(docs).drop("row", "first").collect(), brute_components(rows))
+
+
+def test_large_columns_go_on_at_once(monkeypatch):
+    """A block's task holds no column that reaches LARGE, whatever the slices; entries and codes are those of one sort."""
+    monkeypatch.setattr(jaccard, "HELD", 500)
+    monkeypatch.setattr(jaccard, "SORTED", 100)
+    monkeypatch.setattr(jaccard, "LARGE", 40)
+    rng = random.Random(7)
+    block, want, held, out = jaccard.ColumnBlock(3, 4, 5), Counter(), 0, []
+    for rid in range(2000):
+        own = sorted({1 if rng.random() < 0.8 else 2, *(rng.randint(10, 4000) for _ in range(3))})
+        keys = np.array(own, "u8")
+        want.update(own)
+        row = {"runs": np.array([rid], "i8").tobytes(), "sizes": np.array([9], "i4").tobytes(), "counts": np.array([len(own)], "i4").tobytes(), "low": keys.astype("u4").tobytes(), "high": np.zeros(len(own), "u2").tobytes()}
+        out += block.add(row)
+        held = max(held, block.entries)
+    out += block.settle(True)
+    got, codes = Counter(), {}
+    for t in out:
+        for r in t.to_pylist():
+            ids, code = np.frombuffer(r["low"], "u8"), np.frombuffer(r["codes"], "u1")
+            runs, counts = np.frombuffer(r["runs"], "i8"), np.frombuffer(r["counts"], "i4")
+            assert counts.sum() == len(ids) and (jaccard.part_of(runs, 5) == r["block"]).all() and (ids >> np.uint64(48) == 3).all()
+            for x, c in zip((ids & jaccard.LOW48).tolist(), code.tolist()):
+                got[x] += 1
+                assert codes.setdefault(x, c) == c
+    assert got == Counter({k: n for k, n in want.items() if n > 1})
+    assert all(codes[k] == int(min(254, 8 * math.log2(min(40, n)))) for k, n in want.items() if n > 1)
+    assert held < sum(want.values()) - want[1] + 500
+
+
+def test_column_ids_do_not_wrap():
+    hashes = shingles.mix(np.arange(2000, dtype="u8"))
+    for bits in (0, 7, 16, 18, 24):
+        home = hashes >> np.uint64(64 - bits) if bits else np.zeros(2000, "u8")
+        ids = jaccard.column_ids(home, hashes & jaccard.LOW48, bits)
+        assert len(set(ids.tolist())) == 2000 and (bits < 16 or (ids == hashes).all())
+
+
+def test_given_row_numbers_and_first_rows(spark, prose):
+    a, b = prose(1, 30), prose(2, 30)
+    rows = [(5, a, 10), (5, b, 11), (5, a + " x", 12), (None, a, 13), (3, b, 14), (None, None, 15), (None, None, 16)]
+    got = {r.row: r for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, number long"), row="number").collect()}
+    assert {k: r.first for k, r in got.items()} == {10: True, 11: False, 12: False, 13: False, 14: True, 15: True, 16: True}
+    assert [got[k].component_id for k in (10, 11, 12, 13, 14, 15)] == [5, 3, 5, 5, 3, None]
 
 
 def test_jaccard_rows(docs, clashing, empty, rows):
     want = brute_components(rows)
-    assert same(jaccard.near_duplicates(docs).drop("row").collect(), want)
-    assert same(jaccard.near_duplicates(clashing).drop("row").collect(), want)
+    assert same(jaccard.near_duplicates(docs).drop("row", "first").collect(), want)
+    assert same(jaccard.near_duplicates(clashing).drop("row", "first").collect(), want)
     assert jaccard.near_duplicates(empty).count() == 0
 
 
