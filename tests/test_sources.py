@@ -169,12 +169,36 @@ def test_stream_equals_batch(spark, tmp_path):
     for i in range(0, 40, 10):
         part = [r for r in rows if r[1] in dates[i : i + 10]]
         spark.createDataFrame(part, synthetic.BRONZE).coalesce(1).write.mode("append").parquet(str(landing))
-    silver, rejected = str(tmp_path / "silver"), str(tmp_path / "rejected")
-    run = lambda: daily.start(spark, str(landing), silver, rejected, str(tmp_path / "cp")).awaitTermination(120)
+    root = str(tmp_path / "bars")
+    run = lambda: daily.start(spark, str(landing), root, str(tmp_path / "cp")).awaitTermination(120)
     run()
-    want = flags.add_flags(spark.createDataFrame(rows, synthetic.BRONZE))
-    assert sorted(map(tuple, spark.read.parquet(silver).collect())) == sorted(map(tuple, want.collect()))
+    want = sorted(map(tuple, flags.add_flags(spark.createDataFrame(rows, synthetic.BRONZE)).collect()))
+    assert sorted(map(tuple, daily.silver(spark, root).collect())) == want
     # a late row is set aside, what was written stays
-    spark.createDataFrame([(*rows[0][:2], 9.0, 9.0, 9.0, 9.0, 9.0, 1)], synthetic.BRONZE).coalesce(1).write.mode("append").parquet(str(landing))
+    late = spark.createDataFrame([(*rows[0][:2], 9.0, 9.0, 9.0, 9.0, 9.0, 1)], synthetic.BRONZE)
+    late.coalesce(1).write.mode("append").parquet(str(landing))
     run()
-    assert spark.read.parquet(silver).count() == len(rows) and spark.read.parquet(rejected).count() == 1
+    assert daily.silver(spark, root).count() == len(rows) and daily.rejected(spark, root).count() == 1
+    # a batch that is tried again changes nothing
+    daily.append_batch(spark, late, 4, root)
+    assert sorted(map(tuple, daily.silver(spark, root).collect())) == want and daily.rejected(spark, root).count() == 1
+
+
+def test_a_batch_tried_again_and_other_faults(spark, tmp_path):
+    rows, root = synthetic.toy_rows(3, 30), str(tmp_path / "bars")
+    dates = sorted({r[1] for r in rows})
+    parts = [spark.createDataFrame([r for r in rows if r[1] in dates[i : i + 10]], synthetic.BRONZE) for i in (0, 10, 20)]
+    for i in (0, 0, 1, 2, 2):
+        daily.append_batch(spark, parts[i], i, root)
+    want = flags.add_flags(spark.createDataFrame(rows, synthetic.BRONZE))
+    assert sorted(map(tuple, daily.silver(spark, root).collect())) == sorted(map(tuple, want.collect())) and daily.rejected(spark, root).count() == 0
+    with pytest.raises(StageError):
+        daily.append_batch(spark, parts[0], 9, root)  # the batch before is missing
+    with pytest.raises(StageError):
+        daily.append_batch(spark, parts[0], 0, root)  # another checkpoint
+    # a table that is there but can't be read is no fresh start
+    broken = tmp_path / "broken" / "last" / "batch=0"
+    broken.mkdir(parents=True)
+    (broken / "part-0.parquet").write_text("no Parquet")
+    with pytest.raises(Exception, match="(?i)parquet"):
+        daily.append_batch(spark, parts[1], 1, str(tmp_path / "broken"))
