@@ -9,14 +9,16 @@ from __future__ import annotations
 
 import argparse
 import json
+import logging
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 from barleaf import config as settings
-from barleaf.errors import AdjustError, FeatureError, LabelError, LeakageError, LockedTestError, SecurityMasterError, StageError, UniverseError
+from barleaf.errors import AdjustError, FeatureError, LabelError, LeakageError, LockedTestError, SecurityMasterError, StageError, UniverseError, ValidationError
 from barleaf.operators import adjust, calendar, checks, flags, folds, labels, leakage, master, universe
 from barleaf.operators.calendar import TradingCalendar
 from barleaf.operators.features.build import build_features
@@ -24,6 +26,31 @@ from barleaf.sources import bars
 from barleaf.sources import tables as t
 
 
+#: Types that columns of stage tables have wherever they occur.
+STAGE_TYPES = checks.TYPES | {c: "double" for c in ("adj_factor", "adj_open", "adj_high", "adj_low", "dollar_volume", "logret_cc", "median_dollar_volume_63")} | {"t_idx": "int", "n_obs": "int", "year": "int", "is_month_first_day": "boolean", "eligible": "boolean"} | {c: "boolean" for c in (*flags.FLAGS, *universe.FAILS)}
+
+log = logging.getLogger("barleaf")
+
+
+@contextmanager
+def logging_to(path: str | None) -> Iterator[None]:
+    """Messages of the command on the error stream and, if asked for, in a file."""
+    handlers: list[logging.Handler] = [logging.StreamHandler(sys.stderr)]
+    if path:
+        Path(path).parent.mkdir(parents=True, exist_ok=True)
+        handlers.append(logging.FileHandler(path, encoding="utf-8"))
+    for h in handlers:
+        h.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(message)s"))
+        log.addHandler(h)
+    log.setLevel(logging.INFO)
+    try:
+        yield
+    finally:
+        for h in handlers:
+            log.removeHandler(h)
+            h.close()
+
+
 class Run:
     """Paths and readers of one root folder and variant."""
 
@@ -45,7 +72,8 @@ class Run:
         return str(self.root / name)
 
     def read(self, name: str, columns: tuple[str, ...] | None, error: type[StageError], command: str):
-        return t.read_table(self.spark, self.path(name), columns, error, command)
+        """A stage's table with these columns; those whose type is fixed must have it."""
+        return t.read_table(self.spark, self.path(name), columns, error, command, {c: STAGE_TYPES[c] for c in columns or () if c in STAGE_TYPES})
 
     def calendar(self):
         return self.read("calendar", ("date", "t_idx", "year", "is_month_first_day"), StageError, "ingest")
@@ -81,16 +109,23 @@ def ingest(run: Run) -> int:
 
 def validate(run: Run) -> int:
     """Hard checks, then silver and the report; with a failed check only the report is written."""
-    bronze = run.read("bronze", flags.BRONZE, StageError, "ingest")
-    results = checks.hard_checks(bronze, run.calendar()) + checks.expected_counts(bronze, json.loads(run.args.expect) if run.args.expect else {})
-    totals = checks.dataset_counts(bronze).first().asDict()
-    failed = [r for r in results if r["severity"] == "hard" and not r["passed"]]
-    if not failed:
+    bronze, cal = run.read("bronze", flags.BRONZE, StageError, "ingest"), run.calendar()
+    results = checks.hard_checks(bronze, cal)
+    totals, survivors = checks.dataset_counts(bronze).first().asDict(), checks.survivorship(bronze)
+    if failed := [r["name"] for r in results if r["severity"] == "hard" and not r["passed"]]:
+        log.error("hard checks failed: %s", ", ".join(failed))
+    else:
+        results += checks.soft_checks(bronze, cal, run.config.flags, checks.expectations(run.args.expect))
         silver = flags.add_flags(bronze, run.config.flags)
         totals |= checks.flag_totals(silver).first().asDict()
         t.write_table(silver, run.path("silver"))
-    t.write_text(t.render_report(results, totals), run.file("reports/data_quality.md"))
-    t.write_text(json.dumps({"checks": results, "totals": totals}, indent=2, default=str) + "\n", run.file("reports/data_quality.json"))
+        events = flags.corp_action_events(run.silver(ValidationError)).orderBy("date", "ticker")
+        t.write_csv(events, run.file("reports/corp_action_events.csv"))
+    for r in results:
+        if r["severity"] == "soft" and not r["passed"]:
+            log.warning("%s: %s", r["name"], r["message"])
+    t.write_text(t.render_report(results, totals, survivors), run.file("reports/data_quality.md"))
+    t.write_text(json.dumps({"checks": results, "totals": totals, "survivorship": survivors, "config": settings.fingerprint(run.config)}, indent=2, default=str) + "\n", run.file("reports/data_quality.json"))
     checks.assert_passed(results)
     return 0
 
@@ -115,7 +150,7 @@ def build_adjusted(run: Run) -> int:
     made = adjust.build_adjusted(run.silver(AdjustError), run.calendar())
     t.write_table(made, run.path("adjusted"))
     for r in adjust.last_factors(run.spark.read.parquet(run.path("adjusted"))).where("not is_one").collect():
-        print(f"warning: last factor of {r.ticker} is {r.last_factor}")
+        log.warning("last factor of %s is %s", r.ticker, r.last_factor)
     return 0
 
 
@@ -158,7 +193,8 @@ def parser() -> argparse.ArgumentParser:
     out.add_argument("--root", default=".")
     out.add_argument("--csv")
     out.add_argument("--zip")
-    out.add_argument("--expect", help="JSON of expected counts")
+    out.add_argument("--expect", help="expected values: JSON text, or a JSON or YAML file")
+    out.add_argument("--log", help="a file that messages go to as well")
     out.add_argument("command", choices=sorted(COMMANDS))
     return out
 
@@ -166,7 +202,8 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> int:
     try:
         run = Run(parser().parse_args(argv))
-        return COMMANDS[run.args.command](run)
+        with logging_to(run.args.log):
+            return COMMANDS[run.args.command](run)
     except (StageError, LockedTestError, LeakageError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 1

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+from pathlib import Path
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barleaf.config import Flags
 from barleaf.errors import ValidationError
 from barleaf.functions.exprs import ln_ratio
 from barleaf.operators.calendar import with_t_idx
@@ -12,6 +16,7 @@ from barleaf.operators.flags import BRONZE, FLAGS, by_ticker
 from barleaf.operators.keys import bad_number, count_where, repeated_keys
 
 TYPES = {"ticker": "string", "date": "date", "open": "double", "high": "double", "low": "double", "close": "double", "adj_close": "double", "volume": "bigint"}
+LARGE_MOVE = 0.4
 PRICES = ("open", "high", "low", "close", "adj_close")
 
 
@@ -80,10 +85,74 @@ def assert_passed(results: list[dict]) -> None:
         raise ValidationError(failed)
 
 
-def expected_counts(bronze: DataFrame, expected: dict[str, int]) -> list[dict]:
-    """Soft: n_rows, n_tickers and n_dates against what is expected."""
-    row = bronze.agg(F.count("*").alias("n_rows"), F.countDistinct("ticker").alias("n_tickers"), F.countDistinct("date").alias("n_dates")).first().asDict()
-    return [result(f"expected_{k}", "soft", int(row[k] != v), f"{row[k]} for {v}") for k, v in expected.items() if k in row]
+#: Two share classes of one issuer, which should move together, and by how much.
+SHARE_CLASSES, LEAST_CORRELATION = (("GOOG", "GOOGL"),), 0.99
+
+
+def expectations(source: str | None) -> dict[str, object]:
+    """The expected values of a JSON text, or of a JSON or YAML file; the sections of a file are taken together."""
+    if not source:
+        return {}
+    text = source if source.lstrip().startswith("{") else Path(source).read_text(encoding="utf-8")
+    try:
+        found = json.loads(text)
+    except ValueError:
+        import yaml
+
+        found = yaml.safe_load(text) or {}
+    flat = {}
+    for k, v in found.items():
+        flat |= v if isinstance(v, dict) else {k: v}
+    return flat
+
+
+def measured(bronze: DataFrame, calendar: DataFrame, low_close: float) -> dict[str, object]:
+    """What expectations can name, without their prefix ``expected_``: two aggregates, by ticker and over these."""
+    bad = F.greatest(*(F.when(bad_number(c) if TYPES[c] == "double" else F.col(c).isNull(), 1).otherwise(0) for c in BRONZE))
+    by = bronze.groupBy("ticker").agg(
+        F.count("*").alias("n"), F.countDistinct("date").alias("dates"), F.min("date").alias("first"), F.max("date").alias("last"), F.count_if(F.col("volume") == 0).alias("idle"), F.count_if(F.col("close") < low_close).alias("low"), F.sum(bad).alias("bad"),
+    )
+    r = by.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "dates", "idle", "low", "bad")), F.count("*").alias("tickers"), F.min("first").alias("first"), F.max("last").alias("last"), F.map_from_entries(F.collect_list(F.struct("ticker", "idle"))).alias("idle_by")).first()
+    out = {
+        "rows": r.n, "n_rows": r.n, "tickers": r.tickers, "n_tickers": r.tickers, "trading_days": calendar.count(), "date_min": str(r["first"]), "date_max": str(r["last"]),
+        "zero_volume_total": r.idle, f"close_under_{low_close:g}_rows": r.low, "duplicates": r.n - r.dates, "nulls": r.bad,
+    }
+    return out | {"n_dates": out["trading_days"]} | {f"{ticker.lower()}_zero_volume": n for ticker, n in (r.idle_by or {}).items()}
+
+
+def soft_checks(bronze: DataFrame, calendar: DataFrame, settings: Flags, expected: dict[str, object] | None = None) -> list[dict]:
+    """What is only reported: values that differ from expected ones, and findings that a reader should know. Examples are small aggregates."""
+    facts, out = measured(bronze, calendar, settings.tick_noise_min_close), []
+    for key, want in (expected or {}).items():
+        if (name := key.removeprefix("expected_")) in facts:
+            have = facts[name]
+            out.append(result(f"expected_{name}", "soft", int(str(have) != str(want)), f"{have} for {want}"))
+    limit = settings.max_zero_volume_share_ticker
+    exits, idle = early_exits(bronze), zero_volume_share(bronze).where(F.col("zero_volume_share") > limit)
+    noise, moves = rows_below_by_year(bronze, settings.tick_noise_min_close).where("n_tick_noise > 0"), count_moves(bronze, LARGE_MOVE)
+    findings = {
+        "early_exits": (exits.count(), "tickers end before the last date", exits.orderBy("ticker").limit(10)),
+        "zero_volume_share": (idle.count(), f"tickers without volume on more than {limit:.0%} of their days", idle.orderBy(F.desc("zero_volume_share"), "ticker").limit(10)),
+    }
+    facts_only = {
+        "tick_noise": (facts[f"close_under_{settings.tick_noise_min_close:g}_rows"], f"closes under {settings.tick_noise_min_close:g}", noise.orderBy("year")),
+        "large_moves": (moves.agg(F.coalesce(F.sum("n_moves"), F.lit(0))).first()[0], f"moves of more than {LARGE_MOVE:.0%}", top_moves(bronze)),
+    }
+    for name, (n, what, some) in (findings | facts_only).items():
+        found = result(name, "soft", n, f"{n} {what}", [str(r.asDict()) for r in some.collect()])
+        out.append(found | {"passed": True} if name in facts_only else found)
+    for a, b in SHARE_CLASSES:
+        r = pair_correlation(bronze, a, b, "adj_close").first()
+        if r.n_pairs > 1 and r.corr is not None:
+            out.append(result(f"correlation_{a}_{b}", "soft", int(r.corr < LEAST_CORRELATION), f"{r.corr:.4f} over {r.n_pairs} days"))
+    return out
+
+
+def survivorship(bronze: DataFrame) -> dict:
+    """How many tickers there are from the first date on and how many end early: data without exits holds survivors only."""
+    by = bronze.groupBy("ticker").agg(F.min("date").alias("a"), F.max("date").alias("b"))
+    r = by.crossJoin(by.agg(F.min("a").alias("first"), F.max("b").alias("last"))).agg(F.count("*").alias("tickers"), F.count_if(F.col("a") == F.col("first")).alias("from_first_date"), F.count_if(F.col("b") < F.col("last")).alias("ending_early")).first()
+    return r.asDict() | {"reading": "only survivors: no ticker ends before the last date" if r.tickers and not r.ending_early else f"{r.ending_early} tickers end before the last date"}
 
 
 def dataset_counts(bronze: DataFrame) -> DataFrame:
@@ -116,9 +185,9 @@ def count_moves(bronze: DataFrame, above: float) -> DataFrame:
     return bronze.select("ticker", ret.alias("ret")).groupBy("ticker").agg(F.count_if(F.abs("ret") > above).alias("n_moves"))
 
 
-def pair_correlation(bronze: DataFrame, a: str, b: str) -> DataFrame:
+def pair_correlation(bronze: DataFrame, a: str, b: str, price: str = "close") -> DataFrame:
     """Correlation of two tickers' log returns over their common dates. The pivot is two conditional maxima."""
-    both = bronze.where(F.col("ticker").isin(a, b)).groupBy("date").agg(F.max(F.when(F.col("ticker") == a, F.col("close"))).alias("a"), F.max(F.when(F.col("ticker") == b, F.col("close"))).alias("b")).where("a is not null and b is not null")
+    both = bronze.where(F.col("ticker").isin(a, b)).groupBy("date").agg(F.max(F.when(F.col("ticker") == a, F.col(price))).alias("a"), F.max(F.when(F.col("ticker") == b, F.col(price))).alias("b")).where("a is not null and b is not null")
     w = Window.orderBy("date")  # one row for each date of two tickers
     rets = both.select(ln_ratio(F.col("a"), F.lag("a").over(w)).alias("ra"), ln_ratio(F.col("b"), F.lag("b").over(w)).alias("rb")).where("ra is not null and rb is not null")
     return rets.agg(F.count("*").alias("n_pairs"), F.corr("ra", "rb").alias("corr"))

@@ -9,7 +9,10 @@ rows that are eligible and have both.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right, insort
+from statistics import NormalDist
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,11 +25,11 @@ def usable(panel: DataFrame, score: str, label: str) -> DataFrame:
     return panel.where(F.col("eligible") & F.col(score).isNotNull() & F.col(label).isNotNull())
 
 
-def rank_ic(panel: DataFrame, score: str, label: str, min_names: int = MIN_NAMES) -> DataFrame:
-    """date, t_idx, n_names, ic: Spearman correlation on dates with enough names; NULL where one side is constant."""
-    rows = usable(panel, score, label).select("date", "t_idx", average_rank(score, "date").alias("a"), average_rank(label, "date").alias("b"))
-    out = rows.groupBy("date", "t_idx").agg(F.count("*").alias("n_names"), F.covar_samp("a", "b").alias("c"), F.var_samp("a").alias("va"), F.var_samp("b").alias("vb"))
-    return out.where(F.col("n_names") >= min_names).select("date", "t_idx", "n_names", F.try_divide("c", F.sqrt(F.col("va") * F.col("vb"))).alias("ic"))
+def rank_ic(panel: DataFrame, score: str, label: str, min_names: int = MIN_NAMES, by: tuple[str, ...] = ()) -> DataFrame:
+    """date, t_idx, n_names, ic: Spearman correlation on dates with enough names; NULL where one side is constant. by: columns that set panels apart, which come first."""
+    rows = usable(panel, score, label).select(*by, "date", "t_idx", average_rank(score, *by, "date").alias("a"), average_rank(label, *by, "date").alias("b"))
+    out = rows.groupBy(*by, "date", "t_idx").agg(F.count("*").alias("n_names"), F.covar_samp("a", "b").alias("c"), F.var_samp("a").alias("va"), F.var_samp("b").alias("vb"))
+    return out.where(F.col("n_names") >= min_names).select(*by, "date", "t_idx", "n_names", F.try_divide("c", F.sqrt(F.col("va") * F.col("vb"))).alias("ic"))
 
 
 def non_overlapping(by_date: DataFrame, anchor: int = ANCHOR, every: int = EVERY) -> DataFrame:
@@ -55,6 +58,35 @@ def newey_west(by_date: DataFrame, column: str = "ic", lag: int = 20) -> DataFra
     return sums.select("mean", se.alias("se"), F.try_divide("mean", se).alias("t_stat"), "effective_n")
 
 
+def bootstrap(by_date: DataFrame, column: str = "ic", *, block: int = 1, draws: int = 1000, seed: int = 42, level: float = 0.95) -> DataFrame:
+    """One row: the mean of a daily series, the bounds that ``level`` of its resampled means lie in, effective_n.
+
+    A resample takes runs of ``block`` dates, in a circle, from seeded starts until
+    it is as long as the series: single dates for independent values, longer runs
+    where neighbours depend on each other. Resamples are rows of a range joined
+    with the series by place; place and seed decide them, not the order of rows.
+    """
+    spark = by_date.sparkSession
+    # one row for each date
+    series = by_date.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("x"), (F.row_number().over(Window.orderBy("date")) - 1).alias("place"))
+    n = series.count()
+    if not n:
+        return spark.createDataFrame([(None, None, None, 0)], "mean double, low double, high double, effective_n long")
+    at = spark.range(draws * n).select(F.expr(f"id div {n}").alias("draw"), (F.col("id") % n).alias("i"))
+    start = F.pmod(F.xxhash64("draw", F.expr(f"i div {block}"), F.lit(seed)), F.lit(n))
+    means = at.select("draw", ((start + F.col("i") % block) % n).alias("place")).join(series, "place").groupBy("draw").agg(F.avg("x").alias("m"))
+    edge = (1 - level) / 2
+    bounds = means.agg(F.percentile("m", F.lit(edge)).alias("low"), F.percentile("m", F.lit(1 - edge)).alias("high"))
+    return series.agg(F.avg("x").alias("mean"), F.count("*").alias("effective_n")).crossJoin(bounds).select("mean", "low", "high", "effective_n")  # one row each
+
+
+def paired_difference(a: DataFrame, b: DataFrame, column: str = "ic", **resampling) -> DataFrame:
+    """One row: mean, std, hit rate, t-statistic and bootstrap bounds of a - b over the dates that both have."""
+    other = b.select("date", F.col(column).alias("other"))
+    diff = a.select("date", column).join(other, "date").select("date", (F.col(column) - F.col("other")).alias("d"))
+    return series_summary(diff, "d").drop("effective_n").crossJoin(bootstrap(diff, "d", **resampling).drop("mean"))  # one row each
+
+
 def quantile_spread(panel: DataFrame, score: str, label: str, top: float = 0.8, bottom: float = 0.2, min_names: int = MIN_NAMES) -> DataFrame:
     """date, t_idx, top and bottom mean labels by percent rank of the score, their spread, and the top decile's mean."""
     rows = usable(panel, score, label).select("date", "t_idx", pct_rank(score, "date").alias("p"), F.col(label).alias("y"))
@@ -133,12 +165,21 @@ def baseline_scores(raw: DataFrame) -> DataFrame:
 def regimes(market: DataFrame, least_history: int = 252) -> DataFrame:
     """date, regime_trend, regime_vol, regime from mkt_trend_200 and the percentile of mkt_vol_21 in its history so far.
 
-    Each date's history is all dates before: a self-join of one row for each date.
+    The percentile counts each value among those up to its date, which no window
+    expresses without going through all of them again for each date: one ordered
+    pass over the series, one row for each date, does.
     """
     rows = market.select("date", "mkt_trend_200", "mkt_vol_21")
-    past = rows.where("mkt_vol_21 is not null").select(F.col("date").alias("d"), F.col("mkt_vol_21").alias("v"))
-    share = (F.count_if(F.col("v") < F.col("mkt_vol_21")) + (F.count_if(F.col("v") == F.col("mkt_vol_21")) + 1) / 2.0) / F.count("*")
-    history = rows.where("mkt_vol_21 is not null").join(past, F.col("d") <= F.col("date")).groupBy("date").agg(F.when(F.count("*") >= least_history, share).alias("vol_pct"))
+
+    def ranked(series: pa.Table) -> pa.Table:
+        series, seen, out = series.sort_by("date"), [], []
+        for v in series.column("v").to_pylist():
+            insort(seen, v)
+            a, b = bisect_left(seen, v), bisect_right(seen, v)
+            out.append((a + (b - a + 1) / 2.0) / len(seen) if len(seen) >= least_history else None)
+        return pa.table([series.column("date"), pa.array(out, pa.float64())], ["date", "vol_pct"])
+
+    history = rows.where("mkt_vol_21 is not null").select("date", F.col("mkt_vol_21").alias("v")).groupBy().applyInArrow(ranked, "date date, vol_pct double")
     trend = F.when(F.col("mkt_trend_200") > 0, "up").when(F.col("mkt_trend_200").isNotNull(), "down")
     vol = F.when(F.col("vol_pct") < 1 / 3, "low").when(F.col("vol_pct") > 2 / 3, "high").when(F.col("vol_pct").isNotNull(), "mid")
     out = rows.join(history, "date", "left").select("date", trend.alias("regime_trend"), vol.alias("regime_vol"))
@@ -174,6 +215,25 @@ def probabilistic_sharpe(equity: DataFrame, benchmark: float = 0.0) -> DataFrame
     return s.select("model_id", "sr", z.alias("psr_z"), F.col("t").alias("n_days"))
 
 
+def relative_performance(equity: DataFrame, benchmark: str) -> DataFrame:
+    """By model against one of them: tracking error, information ratio, beta, yearly alpha, yearly turnover and cost over the mean net value."""
+    base = equity.where(F.col("model_id") == benchmark).select("date", F.col("ret").alias("b"))
+    rows = equity.join(base, "date").withColumn("active", F.col("ret") - F.col("b"))
+    s = rows.groupBy("model_id").agg(
+        F.count("*").alias("n_days"), (F.stddev_samp("active") * math.sqrt(252)).alias("tracking_error"), (F.avg("active") * 252).alias("gain"), F.covar_samp("ret", "b").alias("cov"), F.var_samp("b").alias("var"), F.avg("ret").alias("m"), F.avg("b").alias("mb"),
+        F.sum("turnover").alias("turnover"), (F.sum("cost") / F.avg("nav")).alias("cost"),
+    )
+    beta, year = F.try_divide("cov", "var"), F.lit(252.0) / F.col("n_days")
+    return s.select("model_id", "n_days", "tracking_error", F.try_divide("gain", "tracking_error").alias("information_ratio"), beta.alias("beta"), ((F.col("m") - beta * F.col("mb")) * 252).alias("alpha"), (F.col("turnover") * year).alias("turnover_year"), (F.col("cost") * year).alias("cost_year"))
+
+
+def deflated_sharpe(equity: DataFrame, trials: int, variance: float) -> DataFrame:
+    """probabilistic_sharpe against the largest daily Sharpe ratio that ``trials`` tries without skill, whose ratios have that variance, lead one to expect."""
+    normal, euler = NormalDist(), 0.5772156649015329
+    expected = math.sqrt(variance) * ((1 - euler) * normal.inv_cdf(1 - 1 / trials) + euler * normal.inv_cdf(1 - 1 / (trials * math.e))) if trials > 1 else 0.0
+    return probabilistic_sharpe(equity, expected).withColumnRenamed("psr_z", "dsr_z").withColumn("expected_sr", F.lit(expected))
+
+
 def rolling_volatility(equity: DataFrame, n: int = 21) -> DataFrame:
     w = trailing(n, "model_id", "date")
     return equity.select("model_id", "date", (full(F.stddev_samp, "ret", n, w) * math.sqrt(252)).alias("vol"))

@@ -17,15 +17,21 @@ def check_winsor(pct: tuple[float, float]) -> None:
 def rank_gauss(panel: DataFrame, columns: list[str], winsor: tuple[float, float] = (0.01, 0.99)) -> DataFrame:
     """Replaces the columns by normal scores of their average ranks within date; NULL on rows that aren't eligible.
 
-    One exchange on date serves all columns; ranks add a sort for each.
+    All columns are ranked at once as rows (ticker, date, name, x): one exchange
+    on (date, name) whatever their number, so that a date with many names is as
+    many tasks as there are columns, and one expression to compile instead of
+    one for each.
     """
     check_winsor(winsor)
-    date = Window.partitionBy("date", "eligible")
-    out = panel
-    for c in columns:
-        x = F.when(F.col("eligible"), F.col(c))
-        low, high = (F.percentile(x, F.lit(q)).over(date) for q in winsor)
-        out = out.withColumn(c, clip(x, low, high))
-        out = out.withColumn("__n", F.count(c).over(date)).withColumn("__p", (average_rank(c, "date", "eligible") - 0.5) / F.col("__n"))
-        out = out.withColumn(c, F.when(F.col("eligible") & F.col(c).isNotNull(), inverse_normal("__p")))
-    return out.drop("__n", "__p")
+    if not columns:
+        return panel
+    cells = F.explode(F.array(*(F.struct(F.lit(i).alias("name"), F.col(c).alias("x")) for i, c in enumerate(columns))))
+    rows = panel.where("eligible").select("ticker", "date", cells.alias("cell")).select("ticker", "date", "cell.name", "cell.x").where("x is not null")
+    group = Window.partitionBy("date", "name")
+    low, high = (F.percentile("x", F.lit(q)).over(group) for q in winsor)
+    rows = rows.withColumn("x", clip(F.col("x"), low, high))
+    rows = rows.withColumn("p", (average_rank("x", "date", "name") - 0.5) / F.count("*").over(group))
+    scores = rows.select("ticker", "date", "name", inverse_normal("p").alias("z"))
+    wide = scores.groupBy("ticker", "date").agg(*(F.max(F.when(F.col("name") == i, F.col("z"))).alias(c) for i, c in enumerate(columns)))
+    rest = panel.drop(*columns).join(wide, ["ticker", "date"], "left")
+    return rest.select(*panel.columns)

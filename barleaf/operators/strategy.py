@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barleaf.errors import StageError
@@ -39,21 +39,45 @@ class PortfolioRules:
     max_n: int = 25
 
 
+def or_false(c: Column) -> Column:
+    return F.coalesce(c, F.lit(False))
+
+
+def gates(r: SignalRules) -> tuple[Column, ...]:
+    """Whether costs, probability and volatility allow an entry (probability also asks for an exit: third), and whether the rank enters or leaves."""
+    units, on = F.col("units_are_returns"), F.lit
+    cost_ok = or_false(~(on(r.cost_hurdle) & units) | (F.col("pred_excess") >= r.kappa * 2 * r.cost_bps_per_side / 1e4))
+    prob_ok = or_false(~(on(r.prob_gate) & units) | (F.col("prob_cal") >= F.col("base_rate") + r.prob_margin))
+    prob_out = or_false(on(r.prob_gate) & units & (F.col("prob_cal") < F.col("base_rate") - r.prob_margin))
+    vol_ok = or_false(~on(r.vol_veto) | (F.col("vol_pct") <= r.max_vol_pct))
+    return cost_ok, prob_ok, prob_out, vol_ok, or_false(F.col("rank_pct") >= r.r_enter), or_false(F.col("rank_pct") < r.r_exit)
+
+
+def with_held(rows: DataFrame, rules: SignalRules | None = None) -> DataFrame:
+    """``rows`` (those of ``signals`` but for held) with held: whether the name was bought on a date before and not sold since.
+
+    What enters and what leaves exclude each other, so the state is the last of
+    these events of a ticker, whatever held was: one window and no loop. That
+    holds while every signal is carried out; where a portfolio's size leaves some
+    out, the state comes from ``simulate``'s positions instead.
+    """
+    r = rules or SignalRules()
+    cost_ok, prob_ok, prob_out, vol_ok, enters, leaves = gates(r)
+    live, known = F.col("eligible"), F.col("rank_pct").isNotNull()
+    event = F.when(live & enters & cost_ok & prob_ok & vol_ok, True).when(~live | (known & (leaves | prob_out)), False)
+    past = Window.partitionBy("ticker").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("__event", event).withColumn("held", or_false(F.last("__event", True).over(past))).drop("__event")
+
+
 def signals(rows: DataFrame, rules: SignalRules | None = None) -> DataFrame:
     """Adds signal and reason_codes. rows: eligible, held, rank_pct, pred_excess, prob_cal, base_rate, vol_pct, units_are_returns.
 
     Without return units the cost hurdle and the probability gate are bypassed.
     """
     r = rules or SignalRules()
-    yes = lambda c: F.coalesce(c, F.lit(False))
-    units, on = F.col("units_are_returns"), F.lit
-    cost_ok = yes(~(on(r.cost_hurdle) & units) | (F.col("pred_excess") >= r.kappa * 2 * r.cost_bps_per_side / 1e4))
-    prob_ok = yes(~(on(r.prob_gate) & units) | (F.col("prob_cal") >= F.col("base_rate") + r.prob_margin))
-    prob_out = yes(on(r.prob_gate) & units & (F.col("prob_cal") < F.col("base_rate") - r.prob_margin))
-    vol_ok = yes(~on(r.vol_veto) | (F.col("vol_pct") <= r.max_vol_pct))
+    cost_ok, prob_ok, prob_out, vol_ok, enters, leaves = gates(r)
+    units, yes = F.col("units_are_returns"), or_false
     rank, held, live = F.col("rank_pct"), F.col("held"), F.col("eligible")
-    enters = yes(rank >= r.r_enter)
-    leaves = yes(rank < r.r_exit)
     signal = (
         F.when(held & ~live, "SELL").when(held & rank.isNull(), "HOLD").when(held & (leaves | prob_out), "SELL").when(held, "HOLD")
         .when(~live, None).when(enters & cost_ok & prob_ok & vol_ok, "BUY").when(yes(rank <= r.r_avoid), "AVOID").otherwise("NEUTRAL")
@@ -101,32 +125,34 @@ def simulate(prices: DataFrame, weights: DataFrame, *, capital: float = 1e6, cos
 
     Fills on the day after the decision at the open (``delay1_open``: one day
     later; ``next_close``: at its close). Sells come first; buys are scaled so
-    that cash stays at or above 0. One task holds one model's prices: tickers x
-    days, a dimension that models share.
+    that cash stays at or above 0. A model's task gets the prices of the names
+    that it ever holds, from ``start`` on: names held x days.
     """
     delay, at = {"next_open": (1, "adj_open"), "delay1_open": (2, "adj_open"), "next_close": (1, "adj_close")}[fill]
-    rate = cost_bps / 1e4
+    rate, columns = cost_bps / 1e4, [c.split()[0] for c in EQUITY.split(", ")]
+    # one row for each trading day comes to the driver
+    days = sorted((r.t_idx, r.date) for r in prices.select("t_idx", "date").distinct().collect())
+    last = min(end, days[-1][0]) if end is not None and days else days[-1][0] if days else -1
+    days = [d for d in days if start <= d[0] <= last]
 
     def run(key: tuple, own: pd.DataFrame, px: pd.DataFrame) -> pd.DataFrame:
-        if own.empty or px.empty:
-            return pd.DataFrame(columns=[c.split()[0] for c in EQUITY.split(", ")])
-        close = px.pivot(index="t_idx", columns="ticker", values="adj_close").sort_index()
-        fills = px.pivot(index="t_idx", columns="ticker", values=at).sort_index()
-        dates = px.groupby("t_idx")["date"].first()
-        names = list(close.columns)
-        last = int(close.index.max()) if end is None else end
-        pending = {int(t) + delay: g.set_index("ticker")["weight"] for t, g in own[own["t_idx"] < last].groupby("t_idx") if t >= start}
+        if not days:
+            return pd.DataFrame(columns=columns)
+        names = sorted(set(own["ticker"]))
+        on = lambda c: px.pivot(index="t_idx", columns="ticker", values=c).reindex(index=[t for t, _ in days], columns=names).to_numpy("f8")
+        close, fills = on("adj_close"), on(at)
+        decided = own[(own["t_idx"] >= start) & (own["t_idx"] < last)]
+        pending = {int(t) + delay: g.set_index("ticker")["weight"].reindex(names).fillna(0.0).to_numpy() for t, g in decided.groupby("t_idx")}
         cash, shares, before, out = capital, np.zeros(len(names)), None, []
-        for d in [t for t in close.index if start <= t <= last]:
+        for i, (d, date) in enumerate(days):
             turnover = cost = 0.0
             if d in pending:
-                price = fills.loc[d].to_numpy()
-                target_w = pending[d].reindex(names).fillna(0.0).to_numpy()
-                if np.isnan(price[(shares != 0) | (target_w != 0)]).any():
+                price, weight = fills[i], pending[d]
+                if np.isnan(price[(shares != 0) | (weight != 0)]).any():
                     raise StageError(f"{key[0]}: no price on fill day {d}")
                 price = np.nan_to_num(price, nan=1.0)
                 value = cash + shares @ price
-                trade = target_w * value - shares * price
+                trade = weight * value - shares * price
                 sold = -trade[trade < 0].sum()
                 cash += sold * (1 - rate)
                 wanted = trade[trade > 0].sum()
@@ -134,22 +160,21 @@ def simulate(prices: DataFrame, weights: DataFrame, *, capital: float = 1e6, cos
                 trade = np.where(trade > 0, trade * scale, trade)
                 bought = wanted * scale
                 cash -= bought * (1 + rate)
-                shares = shares + trade / price
-                shares[target_w == 0] = 0.0
+                shares = np.where(weight == 0, 0.0, shares + trade / price)
                 turnover, cost = (sold + bought) / value, rate * (sold + bought)
-            mark = np.nan_to_num(close.loc[d].to_numpy())
+            mark = np.nan_to_num(close[i])
             if d == last and liquidate:
                 sold = shares @ mark
                 cash, shares, cost = cash + sold * (1 - rate), np.zeros(len(names)), cost + rate * sold
             nav = cash + shares @ mark
-            out.append((key[0], dates[d], int(d), nav, nav / before - 1 if before else 0.0, cash, int((shares > 0).sum()), turnover, cost))
+            out.append((key[0], date, d, nav, nav / before - 1 if before else 0.0, cash, int((shares > 0).sum()), turnover, cost))
             before = nav
-        return pd.DataFrame(out, columns=[c.split()[0] for c in EQUITY.split(", ")])
+        return pd.DataFrame(out, columns=columns)
 
-    models = weights.select(F.col("model_id").alias("model")).distinct()
-    own = prices.select(*(F.col(c).alias(c) for c in ("ticker", "date", "t_idx", "adj_open", "adj_close")))
-    each = own.crossJoin(models)  # prices once for each model
-    return weights.groupBy("model_id").cogroup(each.groupBy("model")).applyInPandas(run, EQUITY)
+    # renamed and back: weights may come from the same tables as prices
+    held = weights.select(F.col("model_id").alias("model"), F.col("ticker").alias("name")).distinct()
+    rows = prices.where(F.col("t_idx").between(start, last)).select(*(F.col(c).alias(c) for c in ("ticker", "t_idx", "adj_open", "adj_close"))).join(held, F.col("ticker") == F.col("name")).drop("name")
+    return weights.groupBy("model_id").cogroup(rows.groupBy("model")).applyInPandas(run, EQUITY)
 
 
 def equal_weights(panel: DataFrame, dates: DataFrame) -> DataFrame:

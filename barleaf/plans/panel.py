@@ -12,32 +12,33 @@ from barleaf.operators import adjust, calendar, flags, labels, master, universe
 from barleaf.operators.features import market, stock
 from barleaf.operators.features.build import panel_of
 from barleaf.sources import proxy
+from barleaf.sources.tables import written
 
 ORIGINAL = dt.date(1995, 1, 2)
 CONFIG = proxy.settings()
 
 
 class Panel:
-    """Stage tables as lazy DataFrames. A query that uses a stage twice shares its exchanges."""
+    """Stage tables. Those that several others are made of are written once for a query, as a batch build does, and read from there: order lines are scanned once, whatever a query uses."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
     @cached_property
     def traded(self) -> DataFrame:
-        return proxy.traded_bars(self.spark, self.sf_dir)
+        return written(proxy.traded_bars(self.spark, self.sf_dir), "traded")
 
     @cached_property
     def bars(self) -> DataFrame:
-        return proxy.bars(self.spark, self.sf_dir)
+        return proxy.bars(self.traded, self.calendar)
 
     @cached_property
     def calendar(self) -> DataFrame:
-        return calendar.build_calendar(self.traded)
+        return written(calendar.build_calendar(self.traded), "calendar")
 
     @cached_property
     def silver(self) -> DataFrame:
-        return flags.add_flags(self.bars, CONFIG.flags)
+        return written(flags.add_flags(self.bars, CONFIG.flags), "silver")
 
     @cached_property
     def curated(self) -> DataFrame:
@@ -61,7 +62,7 @@ class Panel:
 
     @cached_property
     def joined(self) -> DataFrame:
-        return panel_of(self.adjusted, self.universe)
+        return written(panel_of(self.adjusted, self.universe), "joined")
 
     @cached_property
     def market(self) -> DataFrame:

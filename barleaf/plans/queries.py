@@ -11,11 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barleaf.operators import adjust, calendar, checks, flags, folds, keys, leakage, universe
+from barleaf.operators import adjust, calendar, checks, flags, folds, guards, keys, leakage, universe
 from barleaf.operators import panel as panels
 from barleaf.operators.calendar import TradingCalendar
 from barleaf.operators.features import market
-from barleaf.operators.features.normalize import rank_gauss
+from barleaf.operators.features.build import FeatureTables, build_features
 from barleaf.plans.panel import BY, CONFIG, FULL, LN, NORMAL, ROLL, YEAR, Panel, oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -178,13 +178,21 @@ def pair_return_corr(p: Panel) -> DataFrame:
     return checks.pair_correlation(p.bars, "Brand#4", "Brand#5").select("n_pairs", r8("corr"))
 
 
-@query("select ticker, max(date) as last_date, (select max(date) from late) as panel_last from late group by 1 having max(date) < (select max(date) from late)".replace("late", "(select * from traded_bars where not (ticker = 'Brand#7' and date > date '2000-06-30'))"), "traded")
+@query(
+    """, late as (select * from traded_bars where not (ticker = 'Brand#7' and date > date '2000-06-30'))
+select ticker, max(date) as last_date, (select max(date) from late) as panel_last from late group by 1 having max(date) < (select max(date) from late)""",
+    "traded",
+)
 def early_exit_tickers(p: Panel) -> DataFrame:
     """One brand's last months are cut off first, so that a ticker ends early."""
     return checks.early_exits(p.traded.where(~((F.col("ticker") == "Brand#7") & (F.col("date") > "2000-06-30"))))
 
 
-@query("select * from (select coalesce(l.ticker, r.ticker) as ticker, coalesce(l.date, r.date) as date, case when r.ticker is null then 'left' else 'right' end as side, l.ticker is null or r.ticker is null as one from bars l full join traded_bars r on l.ticker = r.ticker and l.date = r.date) where one".replace("select * from (", "select ticker, date, side from ("), "bars")
+@query(
+    """select coalesce(l.ticker, r.ticker) as ticker, coalesce(l.date, r.date) as date, case when r.ticker is null then 'left' else 'right' end as side
+from bars l full join traded_bars r on l.ticker = r.ticker and l.date = r.date where l.ticker is null or r.ticker is null""",
+    "bars",
+)
 def key_mismatch_antijoin(p: Panel) -> DataFrame:
     return keys.key_mismatches(p.bars, p.traded)
 
@@ -308,7 +316,10 @@ def feat_volatility(p: Panel) -> DataFrame:
 _SPAN = "ln(adj_high / adj_low)"
 
 
-@query(features_sql({"parkinson_21": f"sqrt(({FULL('avg', f'({_SPAN} * {_SPAN})', 21)}) / (4 * ln(2e0))) * {YEAR}"}), "joined")
+_PARKINSON = f"sqrt(({FULL('avg', f'({_SPAN} * {_SPAN})', 21)}) / (4 * ln(2e0))) * {YEAR}"
+
+
+@query(features_sql({"parkinson_21": _PARKINSON}), "joined")
 def feat_parkinson(p: Panel) -> DataFrame:
     return feature_columns(p, "parkinson_21")
 
@@ -318,11 +329,11 @@ _X, _M = f"case when {_BOTH} then logret_cc end", f"case when {_BOTH} then mkt_l
 _W = ROLL(126)
 
 
-@query(
-    f"""select ticker, date, round(case when count(case when {_BOTH} then 1 end) {_W} = 126 and var_samp({_M}) {_W} > 1e-9 * avg(case when {_BOTH} then mkt_logret * mkt_logret end) {_W}
-then covar_samp({_X}, {_M}) {_W} / var_samp({_M}) {_W} end, 8) as beta_126 from (select j.*, m.mkt_logret from joined j join mkt m on j.date = m.date)""",
-    "mkt",
-)
+_BETA = f"""case when count(case when {_BOTH} then 1 end) {_W} = 126 and var_samp({_M}) {_W} > 1e-9 * avg(case when {_BOTH} then mkt_logret * mkt_logret end) {_W}
+then covar_samp({_X}, {_M}) {_W} / var_samp({_M}) {_W} end"""
+
+
+@query(features_sql({"beta_126": _BETA}, "(select j.*, m.mkt_logret from joined j join mkt m on j.date = m.date)"), "mkt")
 def feat_beta(p: Panel) -> DataFrame:
     return feature_columns(p, "beta_126")
 
@@ -338,7 +349,10 @@ def feat_trend(p: Panel) -> DataFrame:
 _DV = {n: f"({FULL('avg', 'dollar_volume', n)})" for n in (21, 63)}
 
 
-@query(features_sql({"log_dvol_63": f"case when {_DV[63]} > 0 then ln({_DV[63]}) end", "rel_dvol_21_63": LN(_DV[21], _DV[63])}), "joined")
+_LIQUIDITY = {"log_dvol_63": f"case when {_DV[63]} > 0 then ln({_DV[63]}) end", "rel_dvol_21_63": LN(_DV[21], _DV[63])}
+
+
+@query(features_sql(_LIQUIDITY), "joined")
 def feat_liquidity(p: Panel) -> DataFrame:
     return feature_columns(p, "log_dvol_63", "rel_dvol_21_63")
 
@@ -347,11 +361,11 @@ _TRADED = "logret_cc is not null and dollar_volume > 0"
 _W63 = ROLL(63)
 
 
-@query(
-    f"""select ticker, date, round(case when count(logret_cc) {_W63} = 63 and count(case when {_TRADED} then 1 end) {_W63} > 0
-then ln(1 + 1e6 * sum(case when {_TRADED} then abs(logret_cc) / dollar_volume end) {_W63} / count(case when {_TRADED} then 1 end) {_W63}) end, 8) as amihud_63 from joined""",
-    "joined",
-)
+_AMIHUD = f"""case when count(logret_cc) {_W63} = 63 and count(case when {_TRADED} then 1 end) {_W63} > 0
+then ln(1 + 1e6 * sum(case when {_TRADED} then abs(logret_cc) / dollar_volume end) {_W63} / count(case when {_TRADED} then 1 end) {_W63}) end"""
+
+
+@query(features_sql({"amihud_63": _AMIHUD}), "joined")
 def feat_amihud(p: Panel) -> DataFrame:
     return feature_columns(p, "amihud_63")
 
@@ -387,32 +401,65 @@ def breadth(p: Panel) -> DataFrame:
     return market.cross_section(p.stock("px_sma_50", "ret_21")).select("date", "mkt_breadth_50")
 
 
-@query(f"select date, round(case when count(x) > 1 then stddev_samp(x) end, 8) as xs_disp_21 from (select date, case when eligible then {ret_sql(21)} end as x from joined) group by 1".replace("case when eligible then case", "case when eligible then (case").replace(") end end as x", ") end) end as x"), "joined")
+@query(f"select date, round(case when count(x) > 1 then stddev_samp(x) end, 8) as xs_disp_21 from (select date, case when eligible then x end as x from (select date, eligible, ({ret_sql(21)}) as x from joined)) group by 1", "joined")
 def dispersion(p: Panel) -> DataFrame:
     return market.cross_section(p.stock("px_sma_50", "ret_21")).select("date", r8("xs_disp_21"))
 
 
-def gauss_sql(names: dict[str, str]) -> str:
-    raw = f"g0 as (select ticker, date, eligible, {', '.join(f'{sql} as {n}' for n, sql in names.items())} from joined)"
-    lo, hi = 0.01, 0.99
-    part = "partition by date, eligible"
-    e = lambda n: f"case when eligible then {n} end"
-    clip = ", ".join(f"case when ({e(n)}) is not null then least(greatest({n}, quantile_cont({e(n)}, {lo}) over ({part})), quantile_cont({e(n)}, {hi}) over ({part})) end as {n}" for n in names)
-    rank = ", ".join(f"(rank() over ({part}, {n} is null order by {n}) + (count(*) over ({part}, {n}) - 1) / 2e0 - 0.5) / count({n}) over ({part}) as p_{n}" for n in names)
-    final = ", ".join(f"round(case when eligible and {n} is not null then {NORMAL(f'p_{n}')} end, 8) as {n}" for n in names)
-    return f", {raw}, g1 as (select ticker, date, eligible, {clip} from g0), g2 as (select *, {rank} from g1) select ticker, date, eligible, {final} from g2"
+#: SQL of every stock feature over ``joined`` with ``mkt_logret``, and of the market's over ``mkt``, in registry order.
+_STOCK = _RETS | _VOL | {"downvol_63": _VOLS["downvol_63"], "vol_ratio_21_63": _VOLS["vol_ratio_21_63"], "parkinson_21": _PARKINSON, "beta_126": _BETA} | _TREND | _LIQUIDITY | {"amihud_63": _AMIHUD}
+_MARKET = {
+    "mkt_ret_21": FULL("sum", "mkt_logret", 21, _D), "mkt_ret_63": FULL("sum", "mkt_logret", 63, _D), "mkt_vol_21": f"({FULL('stddev_samp', 'mkt_logret', 21, _D)}) * {YEAR}",
+    "mkt_trend_200": LN("mkt_index", f"({FULL('avg', 'mkt_index', 200, _D)})"),
+}
+_ACROSS = {
+    "mkt_breadth_50": "cast(count(*) filter (where eligible and px_sma_50 > 0) as double) / nullif(cast(count(*) filter (where eligible and px_sma_50 is not null) as double), 0)",
+    "xs_disp_21": "case when count(case when eligible then ret_21 end) > 1 then stddev_samp(case when eligible then ret_21 end) end",
+}
+
+
+def as_columns(sql: dict[str, str]) -> str:
+    return ", ".join(f"{x} as {n}" for n, x in sql.items())
+
+
+_BY_DATE = ", ".join([*(f"d.{n}" for n in _MARKET), *(f"x.{n}" for n in _ACROSS)])
+_RAW = f""", stock as (select ticker, date, t_idx, eligible, {as_columns(_STOCK)} from (select j.*, m.mkt_logret from joined j left join mkt m on j.date = m.date)),
+raw as (
+  select s.*, {_BY_DATE} from stock s left join (select date, {as_columns(_MARKET)} from mkt) d on s.date = d.date
+  left join (select date, {as_columns(_ACROSS)} from stock group by 1) x on s.date = x.date)"""
+
+
+def _model_sql() -> str:
+    """Clipped, ranked and mapped to normal scores by date, over eligible rows."""
+    part, e = "partition by date, eligible", "case when eligible then {0} end".format
+    clip = ", ".join(f"case when eligible and {n} is not null then least(greatest({n}, quantile_cont({e(n)}, 0.01) over ({part})), quantile_cont({e(n)}, 0.99) over ({part})) end as {n}" for n in _STOCK)
+    rank = ", ".join(f"(rank() over ({part}, {n} is null order by {n}) + (count(*) over ({part}, {n}) - 1) / 2e0 - 0.5) / count({n}) over ({part}) as p_{n}" for n in _STOCK)
+    keys, rest = "ticker, date, t_idx, eligible", ", ".join([*_MARKET, *_ACROSS])
+    scores = ", ".join(f"case when eligible and {n} is not null then {NORMAL(f'p_{n}')} end as {n}" for n in _STOCK)
+    return f"{_RAW}, clipped as (select {keys}, {rest}, {clip} from raw), ranks as (select *, {rank} from clipped), model as (select {keys}, {scores}, {rest} from ranks)"
+
 
+_MODEL = _model_sql()
+_FEATURES = [*_STOCK, *_MARKET, *_ACROSS]
 
-_GAUSS = {n: _RETS[n] for n in ("ret_5", "ret_21")} | {"px_sma_50": _TREND["px_sma_50"]}
 
+def made_features(p: Panel) -> FeatureTables:
+    return build_features(p.adjusted, p.universe, checked=False)
 
-def gauss(p: Panel, names: list[str]) -> DataFrame:
-    return rank_gauss(p.stock(*names).select("ticker", "date", "eligible", *names), names)
 
+def rounded(df: DataFrame) -> DataFrame:
+    return df.select(*(r8(c) if t == "double" else c for c, t in df.dtypes))
 
-@query(gauss_sql(_GAUSS), "joined")
+
+@query(f"{_RAW} select ticker, date, eligible, {', '.join(map(q8, _FEATURES))} from raw", "mkt")
+def features_raw(p: Panel) -> DataFrame:
+    return rounded(made_features(p).raw)
+
+
+@query(f"{_MODEL} select ticker, date, eligible, {', '.join(map(q8, _FEATURES))} from model", "mkt")
 def rank_gauss_model(p: Panel) -> DataFrame:
-    return gauss(p, list(_GAUSS)).select("ticker", "date", "eligible", *map(r8, _GAUSS))
+    """The whole model table: all stock features as normal scores, the market's as they are."""
+    return rounded(made_features(p).model)
 
 
 # --- panel, folds, leakage
@@ -429,21 +476,21 @@ _TUNE = f"((select min(t_idx) from cal where date > date '{_V.tuning_end_date}')
 
 def panel_sql(where: str, cap: str) -> str:
     masked = ", ".join(f"round(case when a.t_idx <= {cap} then {s}{_H} end, 8) as {s}{_H}" for s in panels.MASKED)
-    return f"select a.ticker, a.date, a.t_idx, a.eligible, round(x, 8) as ret_5, {masked}, l.label_exit_idx_h{_H}, l.has_label_h{_H} and a.t_idx <= {cap} as has_label_h{_H} from (select *, {_RETS['ret_5']} as x from joined) a join labels_t l on a.ticker = l.ticker and a.date = l.date where {where}"
+    return f"""{_MODEL} select a.ticker, a.date, a.t_idx, a.eligible, {', '.join(f'round(a.{n}, 8) as {n}' for n in _FEATURES)}, {masked}, l.label_exit_idx_h{_H}, l.has_label_h{_H} and a.t_idx <= {cap} as has_label_h{_H}
+from model a join labels_t l on a.ticker = l.ticker and a.date = l.date where {where}"""
 
 
 def panel_of_split(p: Panel, split: str) -> DataFrame:
-    model = p.stock("ret_5").select("ticker", "date", "eligible", "ret_5")
-    out = panels.build_panel(model, p.labels, p.universe, p.calendar, lookup(p), CONFIG, None, split, checked=False)
-    return out.select(*(r8(c) if t == "double" else c for c, t in out.dtypes))
+    """All features of the model table, and the labels."""
+    return rounded(panels.build_panel(made_features(p).model, p.labels, p.universe, p.calendar, lookup(p), CONFIG, None, split, checked=False))
 
 
-@query(panel_sql(f"a.t_idx < {_LOCK}", f"({_LOCK} - {_H + 2})"), "joined", "labels_t")
+@query(panel_sql(f"a.t_idx < {_LOCK}", f"({_LOCK} - {_H + 2})"), "mkt", "labels_t")
 def panel_dev(p: Panel) -> DataFrame:
     return panel_of_split(p, "dev")
 
 
-@query(panel_sql(f"a.t_idx <= {_TUNE}", _TUNE), "joined", "labels_t")
+@query(panel_sql(f"a.t_idx <= {_TUNE}", _TUNE), "mkt", "labels_t")
 def panel_tuning(p: Panel) -> DataFrame:
     return panel_of_split(p, "tuning")
 
@@ -451,26 +498,27 @@ def panel_tuning(p: Panel) -> DataFrame:
 _GAP = _H + 1 + _V.embargo_days
 
 
-@query(
-    f"""select 'dev_' || y.year as fold_id, role, cast(count(*) as bigint) as n_dates, min(c.t_idx) as first_idx, max(c.t_idx) as last_idx
-from (select year, min(t_idx) as a, max(t_idx) as b from cal where year in ({', '.join(map(str, _V.dev_test_years))}) group by 1) y,
-     (select min(t_idx) as f from cal where date >= date '{_V.first_train_decision_date}') f, (values ('core'), ('calibration'), ('test')) r(role), cal c
-where case role when 'test' then c.t_idx between y.a and y.b
-  when 'calibration' then (c.t_idx - f) % {_V.train_stride} = 0 and c.t_idx between y.a - {_GAP} - {_V.calibration_days} and y.a - {_GAP} - 1
-  else (c.t_idx - f) % {_V.train_stride} = 0 and c.t_idx between f and y.a - {_GAP} - {_V.calibration_days} - {_GAP} - 1 end group by 1, 2""",
-    "cal",
-)
+_BLOCKS = f""", blocks as (
+  select 'dev_' || y.year as fold_id, role, c.t_idx
+  from (select year, min(t_idx) as a, max(t_idx) as b from cal where year in ({', '.join(map(str, _V.dev_test_years))}) group by 1) y,
+       (select min(t_idx) as f from cal where date >= date '{_V.first_train_decision_date}') f, (values ('core'), ('calibration'), ('test')) r(role), cal c
+  where case role when 'test' then c.t_idx between y.a and y.b
+    when 'calibration' then (c.t_idx - f) % {_V.train_stride} = 0 and c.t_idx between y.a - {_GAP} - {_V.calibration_days} and y.a - {_GAP} - 1
+    else (c.t_idx - f) % {_V.train_stride} = 0 and c.t_idx between f and y.a - {_GAP} - {_V.calibration_days} - {_GAP} - 1 end)"""
+
+
+@query(f"{_BLOCKS} select fold_id, role, count(*) as n_dates, min(t_idx) as first_idx, max(t_idx) as last_idx from blocks group by 1, 2", "cal")
 def fold_blocks(p: Panel) -> DataFrame:
     cal = lookup(p)
-    made = folds.dev_folds(CONFIG, cal)
-    folds.assert_valid(made, _H, _V.embargo_days, first=folds.first_train_idx(CONFIG, cal), stride=_V.train_stride)
-    return folds.as_table(p.spark, made).groupBy("fold_id", "role").agg(F.count("*").alias("n_dates"), F.min("t_idx").alias("first_idx"), F.max("t_idx").alias("last_idx"))
+    made = folds.as_table(p.spark, folds.dev_folds(CONFIG, cal))
+    folds.assert_valid(made, folds.spacing_of(CONFIG, cal, _V.calibration_days), locked_start=guards.locked_start_idx(CONFIG, cal))
+    return made.groupBy("fold_id", "role").agg(F.count("*").alias("n_dates"), F.min("t_idx").alias("first_idx"), F.max("t_idx").alias("last_idx"))
 
 
-@query("select f.fold_id, f.role, count(*) as n_rows, count(*) filter (where eligible) as n_eligible from joined j join (select 'dev_1999' as fold_id, 'test' as role, t_idx from cal where year = 1999 union all select 'dev_2000', 'test', t_idx from cal where year = 2000) f on j.t_idx = f.t_idx group by 1, 2", "joined")
+@query(f"{_BLOCKS} select b.fold_id, b.role, count(*) as n_rows, count(*) filter (where eligible) as n_eligible from joined j join blocks b on j.t_idx = b.t_idx group by 1, 2", "joined")
 def fold_rows(p: Panel) -> DataFrame:
-    """Panel rows of each test block, by joining the fold table on t_idx."""
-    blocks = folds.as_table(p.spark, folds.dev_folds(CONFIG, lookup(p))).where("role = 'test'").select("fold_id", "role", "t_idx")
+    """Panel rows of every block, by joining the fold table on t_idx."""
+    blocks = folds.as_table(p.spark, folds.dev_folds(CONFIG, lookup(p))).select("fold_id", "role", "t_idx")
     return p.joined.join(blocks, "t_idx").groupBy("fold_id", "role").agg(F.count("*").alias("n_rows"), F.count_if("eligible").alias("n_eligible"))
 
 

@@ -47,7 +47,7 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
         raise SchemaError(f"header is {names}")
     schema = T.StructType([T.StructField(n, t) for n, (_, t) in RAW.items()])
     df = spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").csv(path)
-    return df.select(*(F.col(f"`{n}`").alias(c) for n, (c, _) in RAW.items()))
+    return bronze(df.select(*(F.col(f"`{n}`").alias(c) for n, (c, _) in RAW.items())))
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:

@@ -31,14 +31,17 @@ def traded_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("ticker", "date", "open", "high", "low", "close", (F.col("close") * (F.lit(1.0) - F.col("d"))).alias("adj_close"), "volume")
 
 
-def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """traded_bars without gaps: from a brand's first week on, a week without sales repeats the close with volume 0."""
-    traded = traded_bars(spark, sf_dir)
-    dates = traded.select("date").distinct()
-    first = traded.groupBy("ticker").agg(F.min("date").alias("first"))
-    grid = first.join(dates, dates.date >= first["first"]).select("ticker", "date")
-    rows = grid.join(traded, ["ticker", "date"], "left")
-    w = Window.partitionBy("ticker").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+def bars(traded: DataFrame, calendar: DataFrame) -> DataFrame:
+    """traded_bars without gaps: from a brand's first week on, a week without sales repeats the close with volume 0.
+
+    The grid is each brand's own run of calendar positions, so no brand meets dates that it doesn't need.
+    """
+    at = traded.join(calendar.select("date", "t_idx"), "date")
+    last = calendar.agg(F.max("t_idx")).first()[0]
+    first = at.groupBy("ticker").agg(F.min("t_idx").alias("first"))
+    grid = first.select("ticker", F.explode(F.sequence("first", F.lit(last).cast("int"))).alias("t_idx"))
+    rows = grid.join(at.drop("date"), ["ticker", "t_idx"], "left").join(calendar.select("date", "t_idx"), "t_idx")
+    w = Window.partitionBy("ticker").orderBy("t_idx").rowsBetween(Window.unboundedPreceding, 0)
     close, adjusted = F.last("close", True).over(w), F.last("adj_close", True).over(w)
     return rows.select("ticker", "date", *(F.coalesce(c, close).alias(c) for c in ("open", "high", "low")), close.alias("close"), adjusted.alias("adj_close"), F.coalesce("volume", F.lit(0)).cast("long").alias("volume"))
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import csv
 import hashlib
 import json
 import os
+import shutil
 import subprocess
+import tempfile
+import uuid
 from datetime import datetime
 from pathlib import Path
 
@@ -30,17 +34,50 @@ def write_table(df: DataFrame, path: str, sort: tuple[str, ...] = ("ticker", "da
     out.write.mode("overwrite").option("compression", "snappy").parquet(path)
 
 
-def read_table(spark: SparkSession, path: str, columns: tuple[str, ...] | None, error: type[StageError], command: str) -> DataFrame:
-    """The table, if it has exactly these columns; errors name the command that makes it."""
+def read_table(spark: SparkSession, path: str, columns: tuple[str, ...] | None, error: type[StageError], command: str, types: dict[str, str] | None = None) -> DataFrame:
+    """The table, if it has exactly these columns and, where ``types`` names some, these types; errors name the command that makes it."""
     try:
         df = spark.read.parquet(path)
     except Exception as e:
         raise error(f"{path} can't be read; run `{command}`: {str(e).splitlines()[0]}") from e
     if columns is not None and tuple(df.columns) != tuple(columns):
         raise error(f"{path} has columns {df.columns}; run `{command}`")
+    found = dict(df.dtypes)
+    if wrong := [f"{c} is {found.get(c)}, not {t}" for c, t in (types or {}).items() if found.get(c) != t]:
+        raise error(f"{path}: {'; '.join(wrong)}; run `{command}`")
     return df
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; in local mode, where it is unset, one that goes with this process."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise StageError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="barleaf-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root if "://" in root or root.startswith("file:") else f"file://{root}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder: a stage that several others read, and that lost executors don't take along."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """A small table in its order as one CSV with a header, row by row from Spark."""
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    part = Path(path).with_suffix(".part")
+    with open(part, "w", encoding="utf-8", newline="") as f:
+        out = csv.writer(f, lineterminator="\n")
+        out.writerow(df.columns)
+        out.writerows(df.toLocalIterator())
+    os.replace(part, path)
+
+
 def write_master(master: DataFrame, path: str) -> None:
     """One CSV, sorted by ticker, ISO dates, true/false. The master has one row for each ticker."""
     rows = master.orderBy("ticker").select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in MASTER)).collect()
@@ -130,8 +167,14 @@ def markdown_table(header: list[str], rows: list[list]) -> str:
     return "\n".join([line(header), line(["---"] * len(header)), *map(line, rows)])
 
 
-def render_report(results: list[dict], totals: dict) -> str:
+def render_report(results: list[dict], totals: dict, survivors: dict | None = None) -> str:
     """Markdown of the checks: the same text for the same results."""
-    rows = [[r["name"], r["severity"], "passed" if r["passed"] else "FAILED", r["count"], r["message"]] for r in results]
-    facts = [[k, v] for k, v in totals.items()]
-    return "\n\n".join(["# Data quality", markdown_table(["fact", "value"], facts), "## Checks", markdown_table(["check", "severity", "state", "count", "message"], rows)]) + "\n"
+    parts = ["# Data quality", markdown_table(["fact", "value"], [[k, v] for k, v in totals.items()])]
+    if survivors:
+        parts += ["## Survivorship", markdown_table(["fact", "value"], [[k, v] for k, v in survivors.items()])]
+    state = lambda r: "passed" if r["passed"] else "FAILED" if r["severity"] == "hard" else "warning"
+    parts += ["## Checks", markdown_table(["check", "severity", "state", "count", "message"], [[r["name"], r["severity"], state(r), r["count"], r["message"]] for r in results])]
+    for r in results:
+        if r["examples"]:
+            parts += [f"### {r['name']}", "\n".join(f"- {x}" for x in r["examples"])]
+    return "\n\n".join(parts) + "\n"

@@ -104,9 +104,33 @@ def test_repeated_keys_and_gaps(bronze, cal):
     assert (gap.ticker, gap.n_missing, gap.first_missing) == ("BBB", 2, dt.date(2020, 1, 8))
 
 
-def test_expected_counts(bronze):
-    got = {r["name"]: r["passed"] for r in checks.expected_counts(bronze, {"n_rows": 90, "n_tickers": 4})}
-    assert got == {"expected_n_rows": True, "expected_n_tickers": False}
+def test_soft_checks_and_expectations(spark, bronze, tmp_path):
+    cal, own = calendar.build_calendar(bronze), Flags(tick_noise_min_close=5.0)
+    n = bronze.count()
+    file = tmp_path / "expected.yaml"
+    file.write_text(f"dataset:\n  name: x\ndimensions:\n  expected_rows: {n}\n  expected_tickers: 99\nquality:\n  expected_nulls: 0\n  expected_duplicates: 0\n  expected_unknown: 3\n")
+    got = {r["name"]: r for r in checks.soft_checks(bronze, cal, own, checks.expectations(str(file)))}
+    assert got["expected_rows"]["passed"] and not got["expected_tickers"]["passed"] and got["expected_nulls"]["passed"] and got["expected_duplicates"]["passed"] and "expected_unknown" not in got
+    assert all(r["severity"] == "soft" for r in got.values()) and got["early_exits"]["passed"] and len(got["large_moves"]["examples"]) == 10
+    assert checks.expectations('{"expected_rows": 3}') == {"expected_rows": 3} and checks.expectations(None) == {}
+    first, last = (cal.orderBy(o).first().date for o in (F.asc("date"), F.desc("date")))
+    tickers = sorted(r.ticker for r in bronze.select("ticker").distinct().collect())
+    cut = bronze.where((F.col("ticker") != tickers[0]) | (F.col("date") < F.lit(last))).withColumn("volume", F.when(F.col("ticker") == tickers[1], 0).otherwise(F.col("volume")).cast("long"))
+    got = {r["name"]: r for r in checks.soft_checks(cut, cal, own)}
+    assert got["early_exits"]["count"] == 1 and not got["early_exits"]["passed"] and tickers[0] in got["early_exits"]["examples"][0]
+    assert got["zero_volume_share"]["count"] == 1 and tickers[1] in got["zero_volume_share"]["examples"][0]
+    assert checks.survivorship(cut)["ending_early"] == 1 and "only survivors" in checks.survivorship(bronze)["reading"]
+    assert checks.survivorship(bronze.where(F.col("date") > F.lit(first)))["from_first_date"] == len(tickers)
+
+
+def test_share_classes_that_should_move_together(spark):
+    rows = synthetic.clean_rows(("GOOG", "GOOGL"), 40, seed=5)
+    apart = spark.createDataFrame(rows, synthetic.BRONZE)
+    cal = calendar.build_calendar(apart)
+    one = apart.where("ticker = 'GOOG'")
+    alike = one.union(one.withColumn("ticker", F.lit("GOOGL")))
+    state = lambda df: next(r["passed"] for r in checks.soft_checks(df, cal, Flags()) if r["name"] == "correlation_GOOG_GOOGL")
+    assert state(alike) and not state(apart)
 
 
 # --- calendar

@@ -41,4 +41,4 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) - set(ORACLES) == {"simulated_equity", "equity_performance"}
+    assert set(QUERIES) - set(ORACLES) == {"walkforward_predictions", "permutation_importance"}
