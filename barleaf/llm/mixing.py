@@ -3,7 +3,8 @@
 A document's size is its number of words. Sources, by code point with null
 last, weigh 5, 2, 1 and so on in turn and share 150 % of all sizes; a target
 stops at twice its source's size and what is over goes to the others by
-weight. With target T and size S a source takes every document T // S times;
+weight, round by round: each round is one sum over the table of sources, of
+which there may be as many as hosts. With target T and size S a source takes every document T // S times;
 for the rest R it picks documents to take once more:
 
 1. Its documents are counted by exact size. Of each size the same share is
@@ -14,7 +15,8 @@ for the rest R it picks documents to take once more:
 3. Of each (source, size) the wanted number of documents is taken in the order
    of a seeded hash.
 
-Only counts meet in one place: a row for each size of a source. Picking in step
+Only counts meet in one place: a row for each size that a source has (words S
+have at most the root of 2 S different sizes). Picking in step
 3 cuts large (source, size) groups into ranges of the hash, ranks within
 these, and adds the counts of the ranges before.
 
@@ -25,12 +27,14 @@ target 0; an empty table gives an empty result. Reruns agree.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barleaf.llm.common import WORD, materialize, null_safe, pick
+from barleaf.llm.common import WORD, drop_path, materialize, null_safe, pick
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
 #: Words of budget that the knapsack fits exactly; largest documents left for it; documents in a range of the hash; the seed.
@@ -41,16 +45,20 @@ def size_of(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def targets(sizes: list[int], weights: list[int], share: float = SHARE, most: int = MOST) -> list[float]:
-    """The target of each source: least(most * size, level * weight), at the level at which they add up to the share of all."""
-    caps, out = [most * s for s in sizes], [0.0] * len(sizes)
-    left, weight = share * sum(sizes), sum(weights)
-    for i in sorted(range(len(sizes)), key=lambda i: (caps[i] / weights[i], i)):
-        if caps[i] * weight > left * weights[i]:
-            break
-        out[i], left, weight = float(caps[i]), left - caps[i], weight - weights[i]
-        weights = [*weights[:i], 0, *weights[i + 1 :]]
-    return [float(min(caps[i], left * w / weight)) if w else out[i] for i, w in enumerate(weights)]
+def water_level(budget: float, stopped: Callable[[float], tuple[int, int, int]]) -> float:
+    """What a weight of 1 gets of the budget when targets stop at their caps: the excess is shared again until no further target stops.
+
+    stopped(level): of the sources whose cap is at most level * weight, the sum of
+    caps and their number; and the weight of the others: (caps, weight, number).
+    """
+    level, before = -1.0, -1
+    while True:
+        caps, weight, number = stopped(level)
+        if number == before:
+            return level
+        if not weight:
+            return float("inf")
+        level, before = (budget - caps) / weight, number
 
 
 def knapsack(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
@@ -98,16 +106,38 @@ def fit(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     return taken + knapsack(sizes, spare, left)
 
 
-def mix_sources(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken, source."""
-    spark = docs.sparkSession
-    rows = pick(docs, doc_id="long", text="string", source="string").select("doc_id", "source", null_safe("source", "s"), size_of("text").alias("size"))
+def source_plan(rows: DataFrame) -> DataFrame:
+    """s, source_size, target of each source. rows: s, size, m."""
+    spark = rows.sparkSession
+    order = [F.col("s") == "n", F.col("s")]
+    sizes = rows.groupBy("s").agg(F.sum(F.col("size") * F.col("m")).alias("source_size"))
+    # places in the whole order: those within ranges, and how many are in the ranges before
+    ranged = sizes.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = materialize(ranged.select("s", "source_size", F.spark_partition_id().alias("range"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("i")), "sources")
+    counts = sorted((r["range"], r.n) for r in ranged.groupBy("range").agg(F.count("*").alias("n")).collect())
+    before = spark.createDataFrame([(k, sum(n for _, n in counts[:j])) for j, (k, _) in enumerate(counts)], "range int, before long")
+    weights = F.array(*map(F.lit, WEIGHTS))
+    weighed = ranged.join(before, "range").select("s", "source_size", F.get(weights, ((F.col("i") + F.col("before")) % len(WEIGHTS)).cast("int")).cast("long").alias("weight"))
+    weighed = materialize(weighed, "weights")
+    drop_path(spark, ranged.scratch_path)
+    total = weighed.agg(F.sum("source_size")).first()[0] or 0
+    cap = MOST * F.col("source_size")
+
+    def stopped(level: float) -> tuple[int, int, int]:
+        stops = cap <= F.lit(level) * F.col("weight")
+        r = weighed.agg(F.sum(F.when(stops, cap)), F.sum(F.when(~stops, F.col("weight"))), F.count_if(stops)).first()
+        return r[0] or 0, r[1] or 0, r[2]
+
+    level = water_level(SHARE * total, stopped)
+    return weighed.select("s", "source_size", F.least(cap.cast("double"), F.lit(level) * F.col("weight")).alias("target"))
+
+
+def mix_sources(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The keys (long columns that tell documents apart), size, source_size, target, taken, source."""
+    rows = pick(docs, **dict.fromkeys(keys, "long"), text="string", source="string").select(*keys, "source", null_safe("source", "s"), size_of("text").alias("size"))
     # equal rows are interchangeable: one row with their number
-    rows = materialize(rows.groupBy("s", "size", "doc_id", "source").agg(F.count("*").alias("m")), "sizes")
-    # one row for each source of the mixture
-    found = sorted(rows.groupBy("s").agg(F.sum(F.col("size") * F.col("m")).alias("size")).collect(), key=lambda r: (r.s == "n", r.s[1:].encode()))
-    want = targets([r.size for r in found], [WEIGHTS[i % len(WEIGHTS)] for i in range(len(found))])
-    plan = spark.createDataFrame([(r.s, r.size, t) for r, t in zip(found, want, strict=True)], "s string, source_size long, target double")
+    rows = materialize(rows.groupBy("s", "size", *keys, "source").agg(F.count("*").alias("m")), "sizes")
+    plan = source_plan(rows)
 
     def whole(source: pd.DataFrame) -> pd.DataFrame:
         total, target = int(source["source_size"].iloc[0]), float(source["target"].iloc[0])
@@ -121,14 +151,14 @@ def mix_sources(docs: DataFrame) -> DataFrame:
     counts = rows.groupBy("s", "size").agg(F.sum("m").alias("n")).join(plan, "s")
     wanted = materialize(counts.groupBy("s").applyInPandas(whole, "s string, size long, n long, source_size long, target double, times long, more long"), "wanted")
     ranges = F.greatest(F.ceil(F.col("n") / RANGE), F.lit(1))
-    dealt = rows.join(wanted, ["s", "size"]).withColumn("o", F.xxhash64("doc_id", F.lit(SEED))).withColumn("r", F.pmod(F.xxhash64("o"), ranges))
+    dealt = rows.join(wanted, ["s", "size"]).withColumn("o", F.xxhash64(*keys, F.lit(SEED))).withColumn("r", F.pmod(F.xxhash64("o"), ranges))
     dealt = materialize(dealt, "dealt")
     each = dealt.where(F.col("n") > RANGE).groupBy("s", "size", "r").agg(F.sum("m").alias("k"))
     before = each.select("s", "size", "r", (F.sum("k").over(Window.partitionBy("s", "size").orderBy("r")) - F.col("k")).alias("before"))
-    own = Window.partitionBy("s", "size", "r").orderBy("o", "doc_id")
+    own = Window.partitionBy("s", "size", "r").orderBy("o", *keys)
     # dealt out by range as well, so that a frequent size of a large source is many tasks
     ranked = dealt.repartition("s", "size", "r").withColumn("place", F.sum("m").over(own) - F.col("m")).join(before, ["s", "size", "r"], "left")
     extra = F.col("more") - F.col("place") - F.coalesce("before", F.lit(0))
     each_row = ranked.withColumn("extra", extra).select("*", F.explode(F.sequence(F.lit(1), F.col("m"))).alias("i"))
     taken = F.col("size") * (F.col("times") + F.when(F.col("i") <= F.col("extra"), 1).otherwise(0))
-    return each_row.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source")
+    return each_row.select(*keys, "size", "source_size", "target", taken.alias("taken"), "source")

@@ -241,7 +241,38 @@ def test_targets_against_resharing():
     for _ in range(200):
         sizes = [rng.choice([0, 1, 5, 50, 1000]) * rng.randint(0, 9) for _ in range(rng.randint(1, 9))]
         weights = [(5, 2, 1)[i % 3] for i in range(len(sizes))]
-        assert np.allclose(mixing.targets(sizes, weights), water_fill(sizes, weights), rtol=1e-9, atol=1e-6)
+        at = lambda x: [2 * s <= x * w for s, w in zip(sizes, weights)]
+        stopped = lambda x: (sum(2 * s for s, y in zip(sizes, at(x)) if y), sum(w for w, y in zip(weights, at(x)) if not y), sum(at(x)))
+        level = mixing.water_level(1.5 * sum(sizes), stopped)
+        assert np.allclose([min(2.0 * s, level * w) for s, w in zip(sizes, weights)], water_fill(sizes, weights), rtol=1e-9, atol=1e-6)
+
+
+def test_plan_of_many_sources(spark):
+    """Ordinals and targets of a table of sources that lies in several ranges."""
+    rng = random.Random(6)
+    names = {f"{rng.choice('aZé漢😀/')}{i:03d}": rng.choice([0, 1, 7, 300, 20_000]) for i in range(400)}
+    rows = [(f"v{k}", n, 1) for k, n in names.items()] + [("n", 50, 2)]
+    got = {r.s: r for r in mixing.source_plan(spark.createDataFrame(rows, "s string, size long, m long").repartition(5)).collect()}
+    order = [f"v{k}" for k in sorted(names, key=lambda k: k.encode())] + ["n"]
+    sizes = [100 if s == "n" else names[s[1:]] for s in order]
+    want = water_fill(sizes, [(5, 2, 1)[i % 3] for i in range(len(order))])
+    assert len(got) == len(order) and all(got[s].source_size == n and abs(got[s].target - t) < 1e-6 * (1 + t) for s, n, t in zip(order, sizes, want))
+
+
+def test_budgets_above_the_exact_range(monkeypatch):
+    """The branch that fills by whole documents first leaves no more than the exact one."""
+    rng = random.Random(5)
+    monkeypatch.setattr(mixing, "EXACT", 64)
+    for _ in range(60):
+        k = rng.randint(2, 30)
+        sizes, counts = np.array(sorted(rng.sample(range(1, 400), k))), np.array([rng.randint(1, 40) for _ in range(k)])
+        total = int((sizes * counts).sum())
+        budget = rng.randint(total // 10, total - 1)
+        taken = mixing.fit(sizes, counts, budget)
+        left = budget - int((taken * sizes).sum())
+        assert (0 <= taken).all() and (taken <= counts).all() and left >= 0
+        # no spare document fits into what is left
+        assert not any(c > t and s <= left for s, c, t in zip(sizes, counts, taken))
 
 
 def test_knapsack_against_all_sums():
