@@ -2,7 +2,8 @@
 
 Each language has a smoothed multinomial over character trigrams of its words
 (with word ends). A document is a mixture: each word comes from one language,
-and expectation-maximisation finds the languages' shares. The set of languages
+and expectation-maximisation finds the languages' shares, until they come to
+rest. The set of languages
 grows from the best single one, by their shares among all, up to all learned
 languages; of these sets it is the one with the largest likelihood, less half
 the logarithm of the number of words and the logarithm of the number of
@@ -34,7 +35,9 @@ from barleaf.llm.common import pick
 from barleaf.llm.tokenstore import mix
 
 PER_LANGUAGE, FOLDS, HELD_OUT = 1000, 4, 2
-ALPHABET, ROUNDS = 64, 8
+ALPHABET = 64
+#: EM goes on until no share moves by more than this, MOST_ROUNDS at most; after each ROUNDS, texts that have come to rest are left out.
+REST, ROUNDS, MOST_ROUNDS = 1e-4, 8, 400
 #: Characters that are scored at once, for one language.
 CHUNK = 4 << 20
 SMOOTH = 0.1
@@ -96,10 +99,20 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str],
 
 def em(like: np.ndarray, doc: np.ndarray, first: np.ndarray, n: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Shares of the languages allowed (where ``share`` is above 0), and the log-likelihood. like: by word, relative to its best."""
-    for _ in range(ROUNDS):
-        own = like * share[doc]
+    share = share.copy()
+    at, words, of, starts = np.arange(len(n)), like, doc, first
+    for turn in range(MOST_ROUNDS):
+        own = words * share[at][of]
         own /= np.maximum(own.sum(1, keepdims=True), 1e-30)
-        share = np.add.reduceat(own, first, axis=0) / n[:, None]
+        new = np.add.reduceat(own, starts, axis=0) / n[at][:, None]
+        moves = np.abs(new - share[at]).max(1) > REST
+        share[at] = new
+        if not moves.any():
+            break
+        if turn % ROUNDS == ROUNDS - 1 and not moves.all():
+            words, at = words[moves[of]], at[moves]
+            of = np.repeat(np.arange(len(at)), n[at])
+            starts = np.cumsum(n[at]) - n[at]
     fit = np.log(np.maximum((like * share[doc]).sum(1), 1e-30))
     return share, np.add.reduceat(fit, first)
 
