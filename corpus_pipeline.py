@@ -13,8 +13,11 @@ documents return the columns of ``documents``.
    takes it, so 0, 1 or 2 times.
 5. BPE encoding and decoding: token ids, and whether they decode to the text.
 
-Rows with a null key are told apart by their texts; rows that repeat a key are
-copies of one document for stage 2 and documents of their own for stage 4.
+Rows that repeat a key or have none are documents of their own in every stage:
+stage 2 numbers rows, and of equal keys the first row stays, keys before null;
+stage 4 tells rows apart by key and text, and whole copies, which are
+interchangeable, come as often as the mix takes them together. Joins that decide
+are sort-merge joins at every size, since they have a row for each document.
 """
 
 from __future__ import annotations
@@ -24,11 +27,11 @@ from collections.abc import Callable
 from functools import wraps
 
 import public_tokenizers
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barleaf.llm import bpe, jaccard, mixing, quality, secrets
-from barleaf.llm.common import drop_path, owned, pick, release, shared_root
+from barleaf.llm.common import drop_path, materialize, owned, pick, release, shared_root
 
 COLUMNS = {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "n_chars": "long"}
 #: SQL can't express the trained classifier, the seeded mixture or byte-pair merges.
@@ -47,11 +50,6 @@ def stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]):
     return run_stage
 
 
-def key() -> Column:
-    """doc_id, or for rows without one a number above all usual keys, by the text."""
-    return F.coalesce("doc_id", F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62))
-
-
 @stage
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     judged = quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), COLUMNS)
@@ -60,15 +58,10 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 @stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = pick(docs, **COLUMNS).withColumn("key", key())
-    groups = jaccard.near_duplicates(docs.select(F.col("key").alias("doc_id"), "text"))
-    first = groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("key")).agg(F.count("*").alias("k"))
-    first = jaccard.materialize(first, "first")
-    # as many keys as documents: shuffled at every size, with the hash table on the side without texts
-    out = docs.join(first.select("key").hint("shuffle_hash"), "key", "left_semi")
-    if first.where("k > 1").limit(1).count():
-        out = out.dropDuplicates(["key"])
-    return out.select(*COLUMNS)
+    # written once, so that numbers are the same wherever they are read
+    docs = materialize(pick(docs, **COLUMNS).withColumn("row", F.monotonically_increasing_id()), "numbered")
+    gone = materialize(jaccard.near_duplicates(docs, row="row").where("not first").select("row"), "gone")
+    return docs.join(gone.hint("merge"), "row", "left_anti").select(*COLUMNS)
 
 
 @stage
@@ -78,18 +71,15 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 @stage
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = pick(docs, **COLUMNS).withColumn("key", key())
-    mixed = mixing.mix_sources(docs.select(F.col("key").alias("doc_id"), "text", "source")).where("taken > 0")
-    times = mixing.materialize(mixed.select(F.col("doc_id").alias("key"), (F.col("taken") / F.col("size")).cast("int").alias("times")), "times")
-    if times.groupBy("key").count().where("count > 1").limit(1).count():
-        # rows that repeat a key: the first rows with words, by text, are taken most often
-        words = mixing.size_of("text") > 0
-        docs = docs.where(words).withColumn("i", F.row_number().over(Window.partitionBy("key").orderBy("text")))
-        times = times.withColumn("i", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("times"))))
-        taken = docs.join(times, ["key", "i"])
-    else:
-        taken = docs.join(times.hint("shuffle_hash"), "key")
-    return taken.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("times"))).alias("i")).drop("i")
+    # doc_id may be missing: 0 and a mark stand for it
+    keys = {"k": F.coalesce("doc_id", F.lit(0)), "none": F.col("doc_id").isNull().cast("long"), "digest": F.xxhash64("text", "lang", "source", "n_chars")}
+    docs = pick(docs, **COLUMNS).withColumns(keys)
+    mixed = mixing.mix_sources(docs, tuple(keys)).where("taken > 0")
+    # rows with the same keys are equal: they are taken as often as all of them are
+    times = materialize(mixed.groupBy(*keys).agg(F.sum(F.col("taken") / F.col("size")).cast("int").alias("times")), "times")
+    one = docs.groupBy(*keys).agg(F.first(F.struct(*COLUMNS)).alias("row"))
+    taken = one.join(times.hint("merge"), list(keys))
+    return taken.select("row.*", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("i")).drop("i")
 
 
 @stage
