@@ -80,12 +80,28 @@ def test_stages_on_awkward_rows(spark, docs, clashing, empty, rows, tmp_path, co
         assert f(spark, empty, folder).count() == 0
 
 
-def test_mixture_stage_repeats_documents(spark, docs, corpus):
+def test_mixture_stage_repeats_documents(spark, docs, rows, corpus):
     from barleaf.llm import mixing
 
-    got = cp.source_mixture(spark, docs, corpus[0]).count()
-    taken = [r.taken // r["size"] for r in mixing.mix_sources(docs.withColumn("doc_id", cp.key())).collect() if r["size"]]
-    assert got == sum(taken)
+    got = cp.source_mixture(spark, docs, corpus[0]).collect()
+    taken = mixing.mix_sources(docs.selectExpr("coalesce(doc_id, -1) as k", "xxhash64(text, lang, source, n_chars) as d", "text", "source"), ("k", "d")).where("size > 0").collect()
+    assert len(got) == sum(r.taken // r["size"] for r in taken)
+    # what comes are whole rows of the table, none more than twice for each time it is there
+    have = {r: rows.count(r) for r in rows}
+    assert all(tuple(r) in have for r in got) and all(got.count(r) <= 2 * have[tuple(r)] for r in got)
+
+
+def test_repeated_and_missing_keys_are_documents_of_their_own(spark, prose, corpus):
+    """Equal keys with different texts, equal texts with different keys, whole copies, and rows without a key or a text."""
+    a, b, c = (prose(700 + i, 40) for i in range(3))
+    rows = [(5, a), (5, b), (5, a), (2, a), (None, a), (None, b), (None, c), (None, c), (None, None), (None, None), (7, None), (9, b + " end")]
+    table = spark.createDataFrame([(k, t, "x", f"s{i % 2}", 1) for i, (k, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted(((r.doc_id, r.text) for r in cp.near_duplicates(spark, table.coalesce(1), corpus[0]).collect()), key=str)
+    assert kept == sorted([(2, a), (5, b), (None, c), (None, None), (None, None), (7, None)], key=str)
+    mixed = [(r.doc_id, r.text) for r in cp.source_mixture(spark, table, corpus[0]).collect()]
+    assert set(mixed) <= {r for r in rows if r[1]} and all(mixed.count(r) <= 2 * rows.count(r) for r in set(mixed))
+    again = [(r.doc_id, r.text) for r in cp.source_mixture(spark, table.repartition(3), corpus[0]).collect()]
+    assert sorted(mixed, key=str) == sorted(again, key=str)
 
 
 def test_every_operator_has_one_query():
