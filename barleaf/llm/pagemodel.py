@@ -1,29 +1,43 @@
 """The tree model of page content, and the labelled pages that train it.
 
 Every block element is a binary variable, content or not. Its log-odds are a
-weighted sum of features; a 2 x 2 table of potentials ties it to its parent.
-On the tree, sum-product messages (children to parents, then parents to
-children) give exact marginals; training climbs the likelihood of labelled
-pages by its gradient, observed less expected features and pairs.
-
-Labelled pages are written by ``labelled_pages``: elements of several common
-layouts, each marked as content or not.
+weighted sum of features: its tag and the sectioning element around it, apart and
+together, whether it holds a main heading, how much text is its own, the share of links, sentence ends, and the words of its class,
+id and role. A 2 x 2 table of potentials ties it to its parent. On the tree,
+sum-product messages (children to parents, then parents to children) give exact
+marginals; training climbs the likelihood of labelled pages by its gradient,
+observed less expected features and pairs.
+
+Labelled pages are written by ``labelled_pages``: elements of many layouts, each
+marked as content or not, with names that pages give such elements, with neutral
+names, and without any, so that words only count for what they are worth there.
 """
 
 from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from functools import cache
 from math import exp, log, log1p
 
 from barleaf.llm.dom import Page
 
-#: Words in class, id and role names that mark what an element is.
-GOOD = frozenset("article body content entry main post story text hentry prose".split())
-BAD = frozenset(
-    "ad ads advert adverts advertisement banner breadcrumb breadcrumbs byline comment comments consent cookie cookies disqus footer header login masthead menu meta modal nav navbar navigation newsletter notice pagination pager popup promo promoted related replies reply respond responses search share sharing sidebar signup skip social sponsor sponsored subscribe tags toc toolbar widget".split()
-)
+#: Words that pages name elements by, by what the elements are; they are written into labelled pages.
+NAMES = {
+    "content": "article body content entry main post story text hentry prose copy".split(),
+    "ad": "ad ads advert adverts advertisement banner promo promoted promotion sponsor sponsored dfp adsense".split(),
+    "notice": "consent cookie cookies notice popup modal alert gdpr overlay paywall".split(),
+    "menu": "menu nav navbar navigation breadcrumb breadcrumbs toc toolbar pagination pager skip links".split(),
+    "header": "header masthead top login logo".split(),
+    "footer": "footer copyright bottom legal".split(),
+    "aside": "sidebar related aside widget rail trending popular recommended".split(),
+    "share": "share sharing social follow".split(),
+    "form": "newsletter signup subscribe search contact".split(),
+    "comments": "comment comments disqus replies reply respond responses discussion thread".split(),
+    "neutral": "wrapper page container row col box inner outer left right block site group item unit grid layout holder module wide".split(),
+}
+LEAST_PAGES = 3
 SEMANTIC = frozenset("article main nav header footer aside form section body menu".split())
 
 
@@ -31,8 +45,8 @@ def softplus(x: float) -> float:
     return x + log1p(exp(-x)) if x > 0 else log1p(exp(x))
 
 
-def node_features(page: Page) -> list[list]:
-    """Names of the features that each node has."""
+def node_features(page: Page, known: frozenset[str] | None = None) -> list[list]:
+    """Names of the features that each node has. known: the words that count as themselves; all others are one."""
     tags, parents, n = page.tags, page.parents, len(page.tags)
     text, links = list(page.own), list(page.linked)
     for i in range(n - 1, 0, -1):
@@ -42,25 +56,28 @@ def node_features(page: Page) -> list[list]:
     for node, block in page.blocks:
         if block[-1] in ".!?…" and len(block) > 30:
             sentence[node] = True
+    titled = [False] * n
+    for i in range(1, n):
+        titled[parents[i]] |= tags[i] == "h1"
     inside: list = [None] * n
     out = []
     for i in range(n):
         p = parents[i]
         inside[i] = (tags[p] if tags[p] in SEMANTIC else inside[p]) if p >= 0 else None
         words = page.hints[i]
-        f = [("tag", tags[i]), ("in", inside[i]), ("own", min(6, page.own[i].bit_length() // 2)), ("links", 4 * links[i] // text[i] if text[i] else -1)]
+        f = [("tag", tags[i]), ("in", inside[i]), ("tag in", tags[i], inside[i]), ("own", min(5, page.own[i].bit_length() // 2)), ("links", 4 * links[i] // text[i] if text[i] else -1)]
         if sentence[i]:
             f.append("sentence")
-        if words:
-            good, bad = any(w in GOOD for w in words), any(w in BAD for w in words)
-            f.append(("hint", good, bad))
-        out.append(f)
+        if titled[i]:
+            f.append("titled")
+        out.append(f + [("word", w) for w in sorted({w if known is None or w in known else "?" for w in words})])
     return out
 
 
 class TreeModel:
     def __init__(self):
         self.weights: dict = {}
+        self.words: frozenset[str] = frozenset()
         #: log potentials of (parent, child): both out, child in, parent in, both in
         self.pairs = [0.0, 0.0, 0.0, 0.0]
 
@@ -85,11 +102,13 @@ class TreeModel:
 
     def content(self, page: Page) -> list[float]:
         """The log-odds of content for each node."""
-        return self.messages(page.parents, self.odds(node_features(page)))[2]
+        return self.messages(page.parents, self.odds(node_features(page, self.words)))[2]
 
     def train(self, pages: list[tuple[Page, list[int]]], rounds: int = 40, rate: float = 0.3, ridge: float = 0.002) -> None:
-        """Adaptive gradient steps, page by page."""
-        data = [(p, node_features(p), y) for p, y in pages]
+        """Adaptive gradient steps, page by page. Words in fewer than LEAST_PAGES pages are unknown ones."""
+        seen = Counter(w for p, _ in pages for w in {w for words in p.hints for w in words})
+        self.words = frozenset(w for w, n in seen.items() if n >= LEAST_PAGES)
+        data = [(p, node_features(p, self.words), y) for p, y in pages]
         size: dict = {}
         for _ in range(rounds):
             for page, features, y in data:
@@ -122,9 +141,9 @@ class TreeModel:
 MARK = re.compile(r'<(\w+) y([01])')
 
 
-def labelled_pages(count: int = 240, seed: int = 5) -> list[tuple[Page, list[int]]]:
-    """Pages of several layouts with the label of each node."""
-    rng = random.Random(seed)
+def labelled_pages(count: int = 480, seed: int = 5, names: dict[str, list[str]] | None = None) -> list[tuple[Page, list[int]]]:
+    """Pages of several layouts with the label of each node. names: other words than NAMES."""
+    rng, names = random.Random(seed), names or NAMES
     letters = "etaoinshrdlu"
 
     def words(a: int, b: int) -> str:
@@ -136,66 +155,78 @@ def labelled_pages(count: int = 240, seed: int = 5) -> list[tuple[Page, list[int
     def sentence(a=4, b=30) -> str:
         return words(a, b).capitalize() + rng.choice("..?!")
 
+    def named(kind: str, p: float = 0.75) -> str:
+        """A class or id that says what the element is, in known words or not, or only a neutral one, or none."""
+        if rng.random() >= p:
+            return some(0.4, lambda: f' class="{rng.choice(names["neutral"])}"')
+        parts = [rng.choice(names[kind]) if rng.random() < 0.9 else words(1, 1), *rng.sample(names["neutral"], rng.choice([0, 0, 1, 2]))]
+        rng.shuffle(parts)
+        return f' {rng.choice(["class", "class", "id"])}="{rng.choice("-_ ").join(parts)}{rng.choice(["", "", "-1", "2"])}"'
+
+    def element(tag: str, label: int, name: str, inner: str) -> str:
+        return f"<{tag} y{label}{name}>{inner}</{tag}>"
+
     def menu(tag: str, name: str) -> str:
-        items = "".join(f'<li y0><a href="/{i}">{words(1, 3)}</a></li>' for i in range(rng.randint(3, 9)))
-        return f"<{tag} y0{name}><ul y0>{items}</ul></{tag}>"
+        items = "".join(f'<li y0><a href="/{i}">{words(1, 3)}</a></li>' for i in range(rng.randint(2, 9)))
+        return element(tag, 0, name, f"<ul y0>{items}</ul>")
 
     def off(tag: str, name: str, inner: str | None = None) -> str:
-        return f"<{tag} y0{name}>{inner if inner is not None else sentence(3, 14)}</{tag}>"
+        return element(tag, 0, name, inner if inner is not None else sentence(3, 14))
+
+    def plain_off() -> str:
+        """Text of what is not the article: bare, or in paragraphs."""
+        return rng.choice([lambda: sentence(3, 20), lambda: f"<p y0>{sentence()}</p>", lambda: f"<p y0>{sentence()}</p><p y0>{sentence(3, 12)}</p>", lambda: f"<h3 y0>{words(1, 4)}</h3><p y0>{sentence()}</p>"])()
 
     def para() -> str:
-        return f"<p y1>{' '.join(sentence() for _ in range(rng.choice([1, 1, 2, 4, 6])))}</p>" if rng.random() < 0.85 else f"<p y1>{words(1, 4)}.</p>"
+        return f"<p y1>{' '.join(sentence(2, 30) for _ in range(rng.choice([1, 1, 2, 4, 6, 12])))}</p>" if rng.random() < 0.8 else f"<p y1>{rng.choice([words(1, 4) + '.', sentence(1, 8), words(1, 12)])}</p>"
 
     def body_part() -> str:
-        kind = rng.random()
-        if kind < 0.7:
-            return para()
-        if kind < 0.76:
-            return f"<h{rng.choice('23')} y1>{words(1, 6)}</h2>".replace("</h2>", "")
-        if kind < 0.84:
-            return "<ul y1>" + "".join(f"<li y1>{words(2, 14)}</li>" for _ in range(rng.randint(2, 5))) + "</ul>"
-        if kind < 0.88:
-            return f"<blockquote y1>{para()}</blockquote>"
-        if kind < 0.91:
-            return f"<figure y1><figcaption y1>{words(3, 9)}</figcaption></figure>"
-        if kind < 0.94:
-            return f"<table y1><tr y1><td y1>{words(1, 5)}</td><td y1>{words(1, 5)}</td></tr></table>"
-        if kind < 0.97:
-            return f"<div y1>{para()}{para()}</div>"
-        return f"<pre y1>{words(3, 20)}</pre>"
-
-    def fix(html: str) -> str:
-        return re.sub(r"<h([23]) y1>([^<]*)", r"<h\1 y1>\2</h\1>", html)
+        return rng.choices([
+            para, lambda: element(rng.choice(["h2", "h3", "h4"]), 1, "", words(1, 6)), lambda: element(rng.choice(["ul", "ol"]), 1, "", "".join(f"<li y1>{words(2, 14)}</li>" for _ in range(rng.randint(2, 5)))),
+            lambda: element("blockquote", 1, "", para()), lambda: element("figure", 1, "", element("figcaption", 1, "", words(3, 9))),
+            lambda: element("table", 1, "", "".join(f"<tr y1><td y1>{words(1, 5)}</td><td y1>{words(1, 5)}</td></tr>" for _ in range(rng.randint(1, 3)))),
+            lambda: element("div", 1, named("content", 0.2), para() + para()), lambda: element("section", 1, "", element("h2", 1, "", words(1, 6)) + para() + para()), lambda: element("pre", 1, "", words(3, 20)),
+            lambda: element("dl", 1, "", f"<dt y1>{words(1, 4)}</dt><dd y1>{sentence()}</dd>"), lambda: element("div", 1, "", sentence()),
+        ], [70, 6, 8, 4, 3, 3, 3, 3, 2, 1, 2])[0]()
 
     def inserted() -> str:
+        """What stands between the parts of an article without being one."""
+        form = lambda: f"<form y0{named('form', 0.4)}><p y0>{words(1, 5)}</p><div y0>{words(1, 3)}</div></form>"
         return rng.choice([
-            lambda: off("div", rng.choice([' class="ad"', ' class="advert"', ' id="ads-1"', ' class="promo"', ' class="sponsored-box"'])),
-            lambda: off("aside", "", f"<p y0>{sentence()}</p>"), lambda: menu("div", ' class="related"'), lambda: menu("div", ' class="share-tools"'),
-            lambda: menu("nav", ' class="toc"'), lambda: off("div", ' class="newsletter-signup"', f"<p y0>{sentence()}</p><form y0><p y0>{words(1, 4)}</p></form>"),
-            lambda: off("header", "", f"<p y0>{words(2, 6)}</p>"), lambda: off("footer", "", f"<p y0>{words(2, 8)}</p>"), lambda: off("form", "", f"<p y0>{words(1, 5)}</p><div y0>{words(1, 3)}</div>"),
+            lambda: off("div", named("ad", 0.95), rng.choice([None, plain_off()])), lambda: off("aside", named("aside", 0.4), plain_off()), lambda: menu("div", named("aside", 0.7)), lambda: menu(rng.choice(["div", "ul", "section"]), named("share", 0.7)),
+            lambda: menu("nav", named("menu", 0.4)), lambda: off("div", named("form", 0.95), f"<p y0>{sentence()}</p>" + form()), form, lambda: off("div", named("notice", 0.95), plain_off()),
+            lambda: off("header", "", f"<p y0>{words(2, 6)}</p>"), lambda: off("footer", "", f"<p y0>{words(2, 8)}</p>"), lambda: off("p", named("ad", 0.95)),
         ])()
 
     def comments() -> str:
-        each = "".join(f'<{t} y0 class="comment"><p y0>{sentence()} {sentence()}</p></{t}>' for t in rng.choices(["div", "li", "article"], k=rng.randint(1, 5)))
-        return f'<{(t := rng.choice(["section", "div", "aside"]))} y0 {rng.choice(["class", "id"])}="{rng.choice(["comments", "comment-list", "responses", "disqus_thread"])}"><h2 y0>{words(1, 3)}</h2>{each}</{t}>'
+        tag = rng.choice(["div", "li", "article"])
+        each = "".join(element(tag, 0, named("comments", 0.9), rng.choice([f"<p y0>{sentence()} {sentence()}</p>", f"<h4 y0>{words(1, 2)}</h4><p y0>{sentence()}</p>", f"<div y0>{words(1, 3)}</div><div y0>{sentence()}</div>"])) for _ in range(rng.randint(1, 5)))
+        return element(rng.choice(["section", "div", "aside"]), 0, named("comments", 0.97), f"<h2 y0>{words(1, 3)}</h2>{each}{some(0.3, lambda: f'<form y0><p y0>{words(1, 4)}</p></form>')}")
+
+    def heading() -> str:
+        title = element("h1", 1, "", rng.choice([words(1, 10), words(1, 10), sentence(1, 12)]))
+        if rng.random() < 0.15:  # no heading, or a lesser one
+            return some(0.5, lambda: element("h2", 1, "", words(1, 10)))
+        return title if rng.random() < 0.8 else f"<div y1>{title}<p y1>{words(3, 8)}</p></div>"
 
     pages = []
     for _ in range(count):
-        tag, name = rng.choice([("article", ""), ("article", ""), ("article", ' class="post"'), ("main", ""), ("div", ' class="content"'), ("div", ' id="article-body"'), ("div", ' class="entry post-text"')])
-        parts = [f"<h1 y1>{words(2, 10)}</h1>", *(fix(body_part()) for _ in range(rng.choice([0, 1, 1, 2, 4, 8, 14])))]
-        for _ in range(rng.choice([0, 0, 0, 1, 2])):
+        tag, name = rng.choice([("article", ""), ("article", ""), ("article", named("content")), ("main", ""), ("div", named("content", 1)), ("div", named("content", 1)), ("section", named("content", 1))])
+        parts = [heading(), *(body_part() for _ in range(rng.choice([0, 1, 1, 2, 4, 8, 14])))]
+        for _ in range(rng.choice([0, 0, 0, 1, 2, 3])):
             parts.insert(rng.randint(1, len(parts)), inserted())
-        main = f"<{tag} y1{name}>{''.join(parts)}{some(0.15, comments)}</{tag}>"
+        main = element(tag, 1, name, "".join(parts) + some(0.15, comments))
+        side = lambda: off(rng.choice(["aside", "div"]), named("aside", 0.97), f"<h3 y0>{words(1, 4)}</h3>" + menu("div", "") + f"<p y0>{sentence()}</p>")
         around = main
-        if rng.random() < 0.3:
-            around = f"<div y0 class=\"{rng.choice(['wrapper', 'page', 'container', 'row'])}\">{main}{some(0.5, lambda: off('div', rng.choice([' class="sidebar"', ' id="sidebar"']), menu('div', '') + f'<p y0>{sentence()}</p>'))}</div>"
-        top = rng.choice([lambda: menu("nav", ""), lambda: off("header", "", f"<div y0>{words(1, 3)}</div>" + menu("nav", "")), lambda: menu("div", ' class="navbar"'), lambda: off("div", ' id="header"', f"<h1 y0>{words(1, 3)}</h1>" + menu("div", ' class="menu"'))])()
+        if rng.random() < 0.35:
+            around = element("div", 0, f' class="{rng.choice(names["neutral"])}"', main + some(0.5, side))
+        elif rng.random() < 0.2:
+            around = element("main", 0, "", main + some(0.5, side))
+        top = rng.choice([lambda: menu("nav", named("menu", 0.3)), lambda: off("header", named("header", 0.3), f"<div y0>{words(1, 3)}</div>" + menu("nav", "")), lambda: menu("div", named("menu", 0.97)), lambda: off("div", named("header", 0.97), f"<h1 y0>{words(1, 3)}</h1>" + menu("div", named("menu")))])
+        foot = rng.choice([lambda: off("footer", named("footer", 0.3)), lambda: off("div", named("footer", 0.97), plain_off()), lambda: off("footer", "", f"<p y0>{sentence()}</p>" + menu("div", ""))])
         html = "".join([
-            "<html y0><body y0>", some(0.2, lambda: off("div", rng.choice([' class="cookie-notice"', ' id="consent-banner"']), f"<p y0>{sentence()}</p>")), top,
-            some(0.5, lambda: off("div", rng.choice([' class="ad"', ' class="banner"', ' class="advertisement"']))), around,
-            some(0.3, lambda: off("aside", rng.choice(["", ' class="sidebar"']), f"<h3 y0>{words(1, 4)}</h3>" + menu("div", "") + f"<p y0>{sentence()}</p>")), some(0.3, comments),
-            some(0.2, lambda: off("form", rng.choice(["", ' class="subscribe"']), f"<p y0>{words(2, 9)}</p>")), rng.choice([lambda: off("footer", ""), lambda: off("div", ' class="footer"', f"<p y0>{sentence()}</p>"), lambda: off("footer", "", f"<p y0>{sentence()}</p>" + menu("ul", "").replace("<ul y0><ul y0>", "<ul y0>").replace("</ul></ul>", "</ul>"))])(),
-            "</body></html>",
+            "<html y0><body y0>", some(0.25, lambda: off("div", named("notice", 0.97), plain_off())), top(), some(0.5, lambda: off(rng.choice(["div", "section"]), named("ad", 0.97), rng.choice([None, plain_off()]))), around,
+            some(0.3, side), some(0.3, comments), some(0.2, lambda: off("form", named("form", 0.5), f"<p y0>{words(2, 9)}</p>")), foot(), "</body></html>",
         ])
         if rng.random() < 0.25:  # pages without their outer elements
             html = html.replace("<html y0><body y0>", "").replace("</body></html>", "")
