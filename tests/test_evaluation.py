@@ -166,3 +166,69 @@ def test_performance_and_drawdown(spark):
     sr, c = x.mean() / x.std(ddof=1), x - x.mean()
     g3, g4 = (c**3).mean() / (c**2).mean() ** 1.5, (c**4).mean() / (c**2).mean() ** 2
     assert z.psr_z == pytest.approx(sr * math.sqrt(3) / math.sqrt(1 - g3 * sr + (g4 - 1) / 4 * sr * sr))
+
+
+def series(spark, xs, column="ic"):
+    dates = synthetic.business_days(dt.date(2020, 1, 6), len(xs))
+    return spark.createDataFrame(list(zip(dates, [None if x is None else float(x) for x in xs])), f"date date, {column} double")
+
+
+def test_bootstrap_bounds(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(0.1, 1.0, 120)
+    got = evaluate.bootstrap(series(spark, [*x, None]), draws=600).first()
+    se = x.std(ddof=1) / math.sqrt(120)
+    assert got.mean == pytest.approx(x.mean()) and got.effective_n == 120
+    assert got.low == pytest.approx(x.mean() - 1.96 * se, abs=0.5 * se) and got.high == pytest.approx(x.mean() + 1.96 * se, abs=0.5 * se)
+    again = evaluate.bootstrap(series(spark, [*x, None]).repartition(5), draws=600).first()
+    assert (again.low, again.high) == pytest.approx((got.low, got.high)) and evaluate.bootstrap(series(spark, [*x, None]), draws=600, seed=1).first().low != got.low
+    # where neighbours go together, blocks give wider bounds than single dates
+    walk = np.repeat(rng.normal(size=24), 5)
+    single, blocks = (evaluate.bootstrap(series(spark, walk), draws=600, block=b).first() for b in (1, 10))
+    assert blocks.high - blocks.low > 1.3 * (single.high - single.low)
+    flat = evaluate.bootstrap(series(spark, [2.0] * 9), draws=50, block=4).first()
+    assert (flat.mean, flat.low, flat.high) == (2.0, 2.0, 2.0)
+    assert evaluate.bootstrap(series(spark, [None]), draws=5).first().effective_n == 0
+
+
+def test_paired_difference(spark):
+    rng = np.random.default_rng(8)
+    common = rng.normal(size=80)
+    a, b = common + 0.2 + 0.1 * rng.normal(size=80), common + 0.1 * rng.normal(size=80)
+    got = evaluate.paired_difference(series(spark, a), series(spark, b[:70]), draws=300).first()
+    d = (a - b)[:70]
+    assert got.mean == pytest.approx(d.mean()) and got.t_stat == pytest.approx(d.mean() / (d.std(ddof=1) / math.sqrt(70))) and got.effective_n == 70 and 0 < got.low < d.mean() < got.high
+
+
+def test_held_follows_what_was_bought_and_sold(spark):
+    """Against the same rules with the state carried from date to date."""
+    rng = random.Random(9)
+    rules = strategy.SignalRules(prob_gate=True, vol_veto=True)
+    data = [(t, f"2020-{m:02d}", rng.random() < 0.9, rng.choice([None, *[rng.random()] * 5]), rng.choice([0.0, 1.0, 1.0]), rng.choice([None, 0.2, 0.6, 0.8]), 0.5, rng.choice([0.2, 0.95, None]), rng.random() < 0.7) for t in "ABCDEF" for m in range(1, 13)]
+    names = "ticker string, date string, eligible boolean, rank_pct double, pred_excess double, prob_cal double, base_rate double, vol_pct double, units_are_returns boolean"
+    got = {(r.ticker, r.date): r.held for r in strategy.with_held(spark.createDataFrame(data, names), rules).collect()}
+    for t in "ABCDEF":
+        held = False
+        for _, d, live, rank, gain, prob, base, vol, units in (r for r in data if r[0] == t):
+            assert got[t, d] == held, (t, d)
+            cost = not units or gain >= 0.001
+            if held:
+                held = live and (rank is None or not (rank < 0.5 or (units and prob is not None and prob < base)))
+            else:
+                held = live and rank is not None and rank >= 0.8 and cost and (not units or (prob is not None and prob >= base)) and vol is not None and vol <= 0.9
+
+
+def test_relative_performance_and_deflated_sharpe(spark):
+    rng = np.random.default_rng(10)
+    b = rng.normal(0.0005, 0.01, 60)
+    m = 0.5 * b + 0.0003 + rng.normal(0, 0.002, 60)
+    dates = synthetic.business_days(dt.date(2020, 1, 6), 60)
+    data = [(k, d, 1000.0 + i, float(r), 0.1, 2.0) for k, rets in (("b", b), ("m", m)) for i, (d, r) in enumerate(zip(dates, rets))]
+    df = spark.createDataFrame(data, "model_id string, date date, nav double, ret double, turnover double, cost double")
+    got = {r.model_id: r for r in evaluate.relative_performance(df, "b").collect()}
+    beta = np.cov(m, b)[0, 1] / b.var(ddof=1)
+    te = (m - b).std(ddof=1) * math.sqrt(252)
+    assert got["m"].beta == pytest.approx(beta) and got["m"].alpha == pytest.approx((m.mean() - beta * b.mean()) * 252) and got["m"].information_ratio == pytest.approx((m - b).mean() * 252 / te)
+    assert got["m"].turnover_year == pytest.approx(0.1 * 252) and got["b"].beta == pytest.approx(1.0) and got["b"].information_ratio is None
+    one, many = (evaluate.deflated_sharpe(df, n, 0.01).where("model_id = 'm'").first() for n in (1, 50))
+    assert one.expected_sr == 0.0 and many.expected_sr == pytest.approx(0.1 * 2.2, abs=0.03) and many.dsr_z < one.dsr_z

@@ -259,3 +259,10 @@ def test_key_tools(bronze):
 
 def test_settings_of_flags(spark):
     assert flagged(flags.add_flags(bars(spark, [10.0, 11.0]), Flags(extreme_move_abs_ret=0.05)), "flag_extreme_move") == [1]
+
+
+def test_stage_tables_of_any_bars(spark):
+    made = synthetic.stage_tables(synthetic.toy_bars(spark, tickers=4, days=60))
+    n = made.bronze.count()
+    assert {t.count() for t in (made.silver, made.universe, made.adjusted, made.labels, made.features)} == {n} and made.master.count() == 4
+    assert made.silver.columns == list(flags.SILVER) and "ret_5" in made.features.columns
