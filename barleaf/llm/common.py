@@ -7,10 +7,13 @@ wanted columns by position and leaves the rest behind.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,9 +21,9 @@ from pyspark.sql import functions as F
 #: Words of all contracts: runs without the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Scratch paths and who wrote them.
+#: Scratch paths and who wrote them; who writes now, in this thread.
 _written: dict[str, str] = {}
-_owner = [""]
+_owner: ContextVar[str] = ContextVar("owner", default="")
 
 
 def pick(df: DataFrame, **types: str) -> DataFrame:
@@ -48,20 +51,21 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; set to a temporary one where unset, in local mode only."""
+    """The folder named by ``spark.checkpoint.dir``; where unset, in local mode only, set to one that goes with this process."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='barleaf-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
+        folder = tempfile.mkdtemp(prefix="barleaf-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", root := f"file://{folder}")
     return root if "://" in root or root.startswith("file:") else f"file://{root}"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     path = f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-    _written[path] = _owner[-1]
+    _written[path] = _owner.get()
     return path
 
 
@@ -84,16 +88,16 @@ def drop_path(spark: SparkSession, path: str) -> None:
 @contextmanager
 def owned(owner: str) -> Iterator[None]:
     """Scratch tables written inside belong to ``owner``."""
-    _owner.append(owner)
+    before = _owner.set(owner)
     try:
         yield
     finally:
-        _owner.pop()
+        _owner.reset(before)
 
 
 def release(spark: SparkSession, owner: str) -> None:
     """Delete the scratch tables of ``owner``, who holds no result built on them."""
-    for path in [p for p, o in _written.items() if o == owner]:
+    for path in [p for p, o in list(_written.items()) if o == owner]:
         drop_path(spark, path)
 
 
