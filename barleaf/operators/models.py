@@ -27,7 +27,8 @@ from barleaf.operators.folds import CALIBRATION, CORE, TEST
 
 #: The penalties that are tried.
 ALPHAS, LOGIT_CS = (1.0, 10.0, 100.0, 1000.0, 10000.0), (0.001, 0.01, 0.1, 1.0)
-STEPS, TOLERANCE = 25, 1e-9
+#: Newton steps, and the change below which the next step would be far smaller still.
+STEPS, TOLERANCE = 25, 1e-6
 
 
 @dataclass
