@@ -131,6 +131,17 @@ def texts_by_slice(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tup
         yield rows, keys, texts
 
 
+def sets_of(texts: list) -> list[np.ndarray]:
+    """The shingle sets of a slice, at most about SLICE_CHARS characters at once: hashing takes far more room than its result."""
+    out, first, chars = [], 0, 0
+    for i, t in enumerate(texts):
+        chars += len(t or "")
+        if chars >= SLICE_CHARS or i == len(texts) - 1:
+            out += shingle_sets(texts[first : i + 1])
+            first, chars = i + 1, 0
+    return out
+
+
 def frequent_columns(numbered: DataFrame) -> np.ndarray:
     """Sorted hashes of all shingles in FREQUENT_SHARE of the documents or more.
 
@@ -161,7 +172,7 @@ def slices(numbered: DataFrame, bits: int, parts: int, frequent: np.ndarray) ->
     most = min(MOST_SLICE, SLICE_CHARS * max(1, (1 << bits) // SLICE_BLOCKS))
 
     def emit(rows: list[int], keys: list, texts: list) -> pa.Table:
-        sets = shingle_sets(texts)
+        sets = sets_of(texts)
         n = np.array([len(s) for s in sets], "i4")
         rid = np.array(rows, "i8")
         null, part = np.array([k is None for k in keys]), part_of(rid, parts)

@@ -187,6 +187,12 @@ def test_large_columns_go_on_at_once(monkeypatch):
     assert held < sum(want.values()) - want[1] + 500
 
 
+def test_sets_of_a_slice_in_pieces(prose, monkeypatch):
+    texts = [None, "", prose(1, 50), prose(2, 3), prose(3, 400), "", prose(4, 9)]
+    monkeypatch.setattr(jaccard, "SLICE_CHARS", 300)
+    assert [s.tolist() for s in jaccard.sets_of(texts)] == [s.tolist() for s in shingles.shingle_sets(texts)] and jaccard.sets_of([]) == []
+
+
 def test_column_ids_do_not_wrap():
     hashes = shingles.mix(np.arange(2000, dtype="u8"))
     for bits in (0, 7, 16, 18, 24):
